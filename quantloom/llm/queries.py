@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import mixing
+from quantloom.llm import line_dedup, mixing
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import quality_rules
@@ -15,6 +15,11 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op6_line_dedup(spark, sf_dir):
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
+    return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5("text").alias("kept_md5"))
+
+
 def op7_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
@@ -32,6 +37,7 @@ def op10_quality_rules(spark, sf_dir):
 def queries() -> dict:
     return {
         "op3_decontaminate": op3_decontaminate,
+        "op6_line_dedup": op6_line_dedup,
         "op7_mix": op7_mix,
         "op8_simhash": op8_simhash,
         "op10_quality_rules": op10_quality_rules,
@@ -39,4 +45,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op7_mix": mixing.ORACLE}
+    return {"op6_line_dedup": line_dedup.ORACLE, "op7_mix": mixing.ORACLE}
