@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import line_dedup, mixing
+from quantloom.llm import cnn, language, line_dedup, mixing, toxicity
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import quality_rules
 from quantloom.llm.simhash import near_duplicates
 
 
+def op1_toxicity(spark, sf_dir):
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
+def op2_language(spark, sf_dir):
+    return language.classify(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op3_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
@@ -28,6 +36,10 @@ def op8_simhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
+def op9_quality(spark, sf_dir):
+    return cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
+
+
 def op10_quality_rules(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     out = quality_rules(docs, keep=["doc_id"])
@@ -36,10 +48,13 @@ def op10_quality_rules(spark, sf_dir):
 
 def queries() -> dict:
     return {
+        "op1_toxicity": op1_toxicity,
+        "op2_language": op2_language,
         "op3_decontaminate": op3_decontaminate,
         "op6_line_dedup": op6_line_dedup,
         "op7_mix": op7_mix,
         "op8_simhash": op8_simhash,
+        "op9_quality": op9_quality,
         "op10_quality_rules": op10_quality_rules,
     }
 
