@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import cnn, language, line_dedup, mixing, toxicity
+from quantloom.llm import cnn, language, line_dedup, mixing, pseudonyms, toxicity
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import quality_rules
 from quantloom.llm.simhash import near_duplicates
 
+#: The key of the registered query; a deployment passes its own.
+PSEUDONYM_KEY = b"quantloom-demo-key"
+
 
 def op1_toxicity(spark, sf_dir):
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), keep=["doc_id"])
@@ -23,6 +26,10 @@ def op3_decontaminate(spark, sf_dir):
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), keep=["doc_id"])
 
 
+def op4_pseudonyms(spark, sf_dir):
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"])
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5("text").alias("kept_md5"))
@@ -51,6 +58,7 @@ def queries() -> dict:
         "op1_toxicity": op1_toxicity,
         "op2_language": op2_language,
         "op3_decontaminate": op3_decontaminate,
+        "op4_pseudonyms": op4_pseudonyms,
         "op6_line_dedup": op6_line_dedup,
         "op7_mix": op7_mix,
         "op8_simhash": op8_simhash,
