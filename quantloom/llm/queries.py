@@ -9,6 +9,7 @@ from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import quality_rules
 from quantloom.llm.simhash import near_duplicates
+from quantloom.llm.suffix_dedup import dedup_substrings
 
 #: The key of the registered query; a deployment passes its own.
 PSEUDONYM_KEY = b"quantloom-demo-key"
@@ -30,6 +31,10 @@ def op4_pseudonyms(spark, sf_dir):
     return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"])
 
 
+def op5_suffix_dedup(spark, sf_dir):
+    return dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
 def op6_line_dedup(spark, sf_dir):
     out = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), report=True)
     return out.select("doc_id", "n_lines", "n_chunks", "n_removed", F.md5("text").alias("kept_md5"))
@@ -59,6 +64,7 @@ def queries() -> dict:
         "op2_language": op2_language,
         "op3_decontaminate": op3_decontaminate,
         "op4_pseudonyms": op4_pseudonyms,
+        "op5_suffix_dedup": op5_suffix_dedup,
         "op6_line_dedup": op6_line_dedup,
         "op7_mix": op7_mix,
         "op8_simhash": op8_simhash,
