@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from quantloom.plans import queries as Q
+
 
 def flagship(spark, sf_dir):
-    raise NotImplementedError
+    return Q.flagship(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return dict(Q.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(Q.ORACLES)

@@ -105,6 +105,10 @@ def substitute(node: Node, names: dict[str, Node]) -> Node:
     return tuple(substitute(x, names) if isinstance(x, tuple) else x for x in node)
 
 
+def _is_test(node: Node) -> bool:
+    return node[0] in _TESTS or (node[0] == "call" and node[1] in ("isnull", "notnull"))
+
+
 def _is_window(node: Node) -> bool:
     return node[0] == "call" and (bool(_ROWS.match(node[1])) or node[1] in _CUM or node[1] == "ewm")
 
@@ -159,7 +163,7 @@ def _spark(node: Node, frame: Frame):
     if kind == "neg":
         return -a[0]
     if kind in "+-*/":  # a condition counts as 0 or 1
-        a = [x.cast("double") if n[0] in _TESTS else x for x, n in zip(a, node[1:], strict=True)]
+        a = [x.cast("double") if _is_test(n) else x for x, n in zip(a, node[1:], strict=True)]
     if kind != "call":
         return {
             "+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": ratio,
@@ -230,7 +234,7 @@ def _sql(node: Node, frame: Frame) -> str:
     if kind == "neg":
         return f"(-{a[0]})"
     if kind in "+-*/":
-        a = [f"CAST({x} AS DOUBLE)" if n[0] in _TESTS else x for x, n in zip(a, node[1:], strict=True)]
+        a = [f"CAST({x} AS DOUBLE)" if _is_test(n) else x for x, n in zip(a, node[1:], strict=True)]
     if kind == "/":
         return f"({a[0]} / nullif({a[1]}, 0))"
     if kind != "call":

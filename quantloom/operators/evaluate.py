@@ -32,7 +32,7 @@ def long_pairs(panel: DataFrame, factors: Sequence[str], horizons: Sequence[int]
         for f in factors
         for h in horizons
     ]
-    out = panel.select("date", "instrument", "ts_ms", F.explode(F.array(*pairs)).alias("p")).select("date", "instrument", "ts_ms", "p.*")
+    out = panel.select("date", "instrument", "ts_ms", F.explode(F.array(*pairs)).alias("__pair")).select("date", "instrument", "ts_ms", "__pair.*")
     return out.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)")
 
 
@@ -253,7 +253,7 @@ def pairwise_spearman(panel: DataFrame, columns: Sequence[str], keys: Sequence[s
         for i, a in enumerate(columns)
         for b in columns[i + 1 :]
     ]
-    long = panel.select(*keys, F.explode(F.array(*pairs)).alias("p")).select(*keys, "p.*")
+    long = panel.select(*keys, F.explode(F.array(*pairs)).alias("__pair")).select(*keys, "__pair.*")
     return spearman(long, [*keys, "a", "b"]).withColumnRenamed("ic", "rho")
 
 

@@ -23,7 +23,10 @@ from quantloom.operators.book import with_book
 from quantloom.operators.merge import SERIES
 
 SNAP = Frame(tuple(SERIES), ("ts_ms",))
-_LOG = Window.partitionBy(*SERIES).orderBy("eff_ms")
+
+
+def _log():
+    return Window.partitionBy(*SERIES).orderBy("eff_ms")
 
 
 def _bid(k: int, what: str) -> Column:
@@ -34,37 +37,66 @@ def _ask(k: int, what: str) -> Column:
     return F.get("asks", F.lit(k))[what]
 
 
-BP, BQ, AP, AQ = _bid(0, "price"), _bid(0, "volume"), _ask(0, "price"), _ask(0, "volume")
-TWO = (BP > 0) & (AP > 0)
-MID = F.when(TWO, (BP + AP) / 2.0)
+# The touch as columns of its own (``prepared``), so that no factor's expression repeats how it is found.
+def bp() -> Column:
+    return F.col("_bp")
+
+
+def bq() -> Column:
+    return F.col("_bq")
+
+
+def ap() -> Column:
+    return F.col("_ap")
+
+
+def aq() -> Column:
+    return F.col("_aq")
+
+
+def two() -> Column:
+    return F.col("_two")
+
+
+def mid() -> Column:
+    return F.col("_mid")
+
+
+def prepared(snaps: DataFrame) -> DataFrame:
+    """Append the touch: best prices and volumes, whether both sides stand, and their mid."""
+    touch = snaps.select("*", _bid(0, "price").alias("_bp"), _bid(0, "volume").alias("_bq"), _ask(0, "price").alias("_ap"), _ask(0, "volume").alias("_aq"))
+    two = F.coalesce((F.col("_bp") > 0) & (F.col("_ap") > 0), F.lit(False))
+    return touch.withColumns({"_two": two, "_mid": F.when(two, (F.col("_bp") + F.col("_ap")) / 2.0)})
 
 
 def _wdi() -> Column:
     """Depth imbalance of five levels, weights falling by exp(-1/2) a level."""
     net = sum((F.coalesce(_bid(k, "volume"), F.lit(0)) - F.coalesce(_ask(k, "volume"), F.lit(0))) * math.exp(-k / 2) for k in range(5))
     all_ = sum((F.coalesce(_bid(k, "volume"), F.lit(0)) + F.coalesce(_ask(k, "volume"), F.lit(0))) * math.exp(-k / 2) for k in range(5))
-    return F.when(TWO, F.greatest(F.least(ratio(net, all_), F.lit(1.0)), F.lit(-1.0)))
+    return F.when(two(), F.greatest(F.least(ratio(net, all_), F.lit(1.0)), F.lit(-1.0)))
 
 
 def _side_slope(levels: str) -> Column:
-    """Least-squares slope of log cumulative depth on the distance from mid (bp), over up to five levels."""
-    xs = []
-    cum = F.lit(0)
-    alive = F.lit(True)
-    for k in range(5):
-        p, v = F.get(levels, F.lit(k))["price"], F.get(levels, F.lit(k))["volume"]
-        alive = alive & F.coalesce((p > 0) & (v > 0), F.lit(False))
-        cum = cum + F.coalesce(v, F.lit(0))
-        x = F.abs(p - MID) / MID * 1e4
-        xs.append((alive, x, F.ln(F.when(cum > 0, cum.cast("double")))))
-    pick = lambda f: sum(F.when(a, f(x, y)).otherwise(F.lit(0.0)) for a, x, y in xs)
-    n, sx, sy = pick(lambda x, y: F.lit(1.0)), pick(lambda x, y: x), pick(lambda x, y: y)
-    sxx, sxy = pick(lambda x, y: x * x), pick(lambda x, y: x * y)
-    return F.when(n >= 2, ratio(n * sxy - sx * sy, n * sxx - sx * sx))
+    """Least-squares slope of log cumulative depth on the distance from mid (bp), over up to five levels
+    without a hole: one fold over the level array."""
+    zero = F.lit(0.0)
+    start = F.struct(*[zero.alias(c) for c in ("n", "sx", "sy", "sxx", "sxy", "cum")], F.lit(True).alias("on"))
+
+    def add(a, level):
+        on = a["on"] & (level["price"] > 0) & (level["volume"] > 0)
+        cum = a["cum"] + level["volume"]
+        x, y = F.abs(level["price"] - mid()) / mid() * 1e4, F.ln(cum)
+        more = {"n": F.lit(1.0), "sx": x, "sy": y, "sxx": x * x, "sxy": x * y}
+        return F.struct(*[F.when(on, a[k] + v).otherwise(a[k]).alias(k) for k, v in more.items()], cum.alias("cum"), on.alias("on"))
+
+    def slope(a):
+        return F.when(a["n"] >= 2, ratio(a["n"] * a["sxy"] - a["sx"] * a["sy"], a["n"] * a["sxx"] - a["sx"] * a["sx"]))
+
+    return F.aggregate(F.slice(levels, 1, 5), start, add, slope)
 
 
 def _book_slope() -> Column:
-    return F.when(TWO, (_side_slope("bids") + _side_slope("asks")) / 2)
+    return F.when(two(), (_side_slope("bids") + _side_slope("asks")) / 2)
 
 
 def _orders(levels: str) -> Column:
@@ -89,19 +121,29 @@ def _iopv_velocity() -> Column:
 
 
 def _win(ms: int):
-    return _LOG.rangeBetween(-ms, 0)
+    return _log().rangeBetween(-ms, 0)
 
 
 def _warm(event: Column, ms: int) -> Column:
     """Whether the first of the events is a whole window ago."""
-    first = F.min(F.when(event, F.col("eff_ms"))).over(_LOG.rangeBetween(Window.unboundedPreceding, 0))
+    first = F.min(F.when(event, F.col("eff_ms"))).over(_log().rangeBetween(Window.unboundedPreceding, 0))
     return F.col("ts_ms") - first >= ms
 
 
-_TICK = (F.col("kind") == 0) & F.col("in_session")
-_TRADE = _TICK & F.col("is_trade")
-_ORDER = _TICK & ~F.col("is_trade")
-_SIGNED = _TRADE & (F.col("side") != 0)
+def _tick() -> Column:
+    return (F.col("kind") == 0) & F.col("in_session")
+
+
+def _trade() -> Column:
+    return _tick() & F.col("is_trade")
+
+
+def _order() -> Column:
+    return _tick() & ~F.col("is_trade")
+
+
+def _signed() -> Column:
+    return _trade() & (F.col("side") != 0)
 
 
 def _total(what: Column, on: Column, ms: int) -> Column:
@@ -111,16 +153,16 @@ def _total(what: Column, on: Column, ms: int) -> Column:
 def _ofi(ms: int) -> Column:
     on = F.col("flow").isNotNull()
     mean = F.avg(F.when(on, F.col("touch_qty"))).over(_win(ms))
-    return F.when(_warm(_TICK, ms), ratio(_total(F.col("flow"), on, ms), mean))
+    return F.when(_warm(_tick(), ms), ratio(_total(F.col("flow"), on, ms), mean))
 
 
 def _imbalance(ms: int) -> Column:
-    buy, sell = _total(F.col("volume"), _SIGNED & (F.col("side") > 0), ms), _total(F.col("volume"), _SIGNED & (F.col("side") < 0), ms)
-    return F.when(_warm(_SIGNED, ms), ratio(buy - sell, buy + sell))
+    buy, sell = _total(F.col("volume"), _signed() & (F.col("side") > 0), ms), _total(F.col("volume"), _signed() & (F.col("side") < 0), ms)
+    return F.when(_warm(_signed(), ms), ratio(buy - sell, buy + sell))
 
 
 def _one_side(side: int) -> Column:
-    return F.when(_warm(_SIGNED, 60_000), _total(F.col("volume"), _SIGNED & (F.col("side") == side), 60_000))
+    return F.when(_warm(_signed(), 60_000), _total(F.col("volume"), _signed() & (F.col("side") == side), 60_000))
 
 
 def _reliable() -> Column:
@@ -129,31 +171,31 @@ def _reliable() -> Column:
 
 
 def _arrival() -> Column:
-    new = _ORDER & ~F.col("is_cancel")
+    new = _order() & ~F.col("is_cancel")
     b, s = (_total(F.lit(1), new & (F.col("side") == k), 60_000) for k in (1, -1))
-    return F.when(_reliable() & _warm(_ORDER, 60_000), ratio(b - s, b + s))
+    return F.when(_reliable() & _warm(_order(), 60_000), ratio(b - s, b + s))
 
 
 def _cancel_ratio() -> Column:
-    c = _total(F.lit(1), _ORDER & F.col("is_cancel"), 60_000)
-    return F.when(_reliable() & _warm(_ORDER, 60_000), ratio(c, c + _total(F.lit(1), _ORDER & ~F.col("is_cancel"), 60_000)))
+    c = _total(F.lit(1), _order() & F.col("is_cancel"), 60_000)
+    return F.when(_reliable() & _warm(_order(), 60_000), ratio(c, c + _total(F.lit(1), _order() & ~F.col("is_cancel"), 60_000)))
 
 
 def _trades() -> Column:
-    return _total(F.lit(1), _TRADE, 60_000)
+    return _total(F.lit(1), _trade(), 60_000)
 
 
 def _largest(signed: bool) -> Column:
     """Share of the largest tenth of the window's trades in its volume; signed, buys less sells."""
-    item = F.when(_TRADE, F.struct((-F.col("volume")).alias("v"), F.col("at").alias("a"), F.col("n").alias("n"), F.col("side").alias("s")))
+    item = F.when(_trade(), F.struct((-F.col("volume")).alias("v"), F.col("at").alias("a"), F.col("n").alias("n"), F.col("side").alias("s")))
     ordered = F.array_sort(F.collect_list(item).over(_win(60_000)))
     top = F.slice(ordered, F.lit(1), F.ceil(F.size(ordered) / 10.0).cast("int"))
     part = F.aggregate(top, F.lit(0).cast("bigint"), lambda acc, x: acc - x["v"] * (x["s"] if signed else F.lit(1)))
-    return F.when(_warm(_TRADE, 60_000) & (F.size(ordered) > 0), ratio(part, _total(F.col("volume"), _TRADE, 60_000)))
+    return F.when(_warm(_trade(), 60_000) & (F.size(ordered) > 0), ratio(part, _total(F.col("volume"), _trade(), 60_000)))
 
 
 def _trade_gap() -> Column:
-    last = F.last(F.when(_TRADE, F.col("eff_ms")), ignorenulls=True).over(_LOG.rangeBetween(Window.unboundedPreceding, 0))
+    last = F.last(F.when(_trade(), F.col("eff_ms")), ignorenulls=True).over(_log().rangeBetween(Window.unboundedPreceding, 0))
     return F.greatest(F.col("ts_ms") - last, F.lit(0)).cast("double")
 
 
@@ -167,23 +209,23 @@ class FactorSpec:
 
 
 def _canary_mid() -> Column:
-    return SNAP.forward(15_000, mid=MID / 1000.0)["mid"]
+    return SNAP.forward(15_000, mid=mid() / 1000.0)["mid"]
 
 
 def _canary_sign() -> Column:
-    w = _LOG.rangeBetween(1, 15_000)
-    return F.signum(F.coalesce(F.sum(F.when(_SIGNED, F.col("volume") * F.col("side"))).over(w), F.lit(0)).cast("double"))
+    w = _log().rangeBetween(1, 15_000)
+    return F.signum(F.coalesce(F.sum(F.when(_signed(), F.col("volume") * F.col("side"))).over(w), F.lit(0)).cast("double"))
 
 
 SPECS = [
-    FactorSpec("quoted_spread_ticks", "snapshot", lambda: F.when(TWO, (AP - BP).cast("double")), True),
-    FactorSpec("microprice_dev", "snapshot", lambda: F.when(TWO, ratio(ratio(AP * BQ + BP * AQ, BQ + AQ) - MID, MID) * 1e4), True),
-    FactorSpec("oir", "snapshot", lambda: F.when(TWO, ratio(BQ - AQ, BQ + AQ)), True),
+    FactorSpec("quoted_spread_ticks", "snapshot", lambda: F.when(two(), (ap() - bp()).cast("double")), True),
+    FactorSpec("microprice_dev", "snapshot", lambda: F.when(two(), ratio(ratio(ap() * bq() + bp() * aq(), bq() + aq()) - mid(), mid()) * 1e4), True),
+    FactorSpec("oir", "snapshot", lambda: F.when(two(), ratio(bq() - aq(), bq() + aq())), True),
     FactorSpec("wdi", "snapshot", _wdi, True),
     FactorSpec("book_slope", "snapshot", _book_slope, True),
-    FactorSpec("iopv_premium", "snapshot", lambda: F.when(TWO & (F.col("iopv") > 0) & (F.col("last") > 0), ratio(F.col("last") - F.col("iopv"), F.col("iopv")) * 1e4), True),
-    FactorSpec("rv_60s", "snapshot", lambda: SNAP.rv(MID, F.coalesce(TWO, F.lit(False)), 60_000), True),
-    FactorSpec("rv_300s", "snapshot", lambda: SNAP.rv(MID, F.coalesce(TWO, F.lit(False)), 300_000), True),
+    FactorSpec("iopv_premium", "snapshot", lambda: F.when(two() & (F.col("iopv") > 0) & (F.col("last") > 0), ratio(F.col("last") - F.col("iopv"), F.col("iopv")) * 1e4), True),
+    FactorSpec("rv_60s", "snapshot", lambda: SNAP.rv(mid(), two(), 60_000), True),
+    FactorSpec("rv_300s", "snapshot", lambda: SNAP.rv(mid(), two(), 300_000), True),
     FactorSpec("ofi_60s", "book", lambda: _ofi(60_000), True),
     FactorSpec("trade_imbalance_60s", "log", lambda: _imbalance(60_000), True),
     FactorSpec("order_arrival_60s", "log", _arrival, True),
@@ -192,14 +234,14 @@ SPECS = [
     FactorSpec("ofi_15s", "book", lambda: _ofi(15_000)),
     FactorSpec("trade_imbalance_30s", "log", lambda: _imbalance(30_000)),
     FactorSpec("trade_imbalance_15s", "log", lambda: _imbalance(15_000)),
-    FactorSpec("avg_trade_size_60s", "log", lambda: F.when(_warm(_TRADE, 60_000), ratio(_total(F.col("volume"), _TRADE, 60_000), _trades()))),
-    FactorSpec("n_trades_60s", "log", lambda: F.when(_warm(_TRADE, 60_000), _trades())),
+    FactorSpec("avg_trade_size_60s", "log", lambda: F.when(_warm(_trade(), 60_000), ratio(_total(F.col("volume"), _trade(), 60_000), _trades()))),
+    FactorSpec("n_trades_60s", "log", lambda: F.when(_warm(_trade(), 60_000), _trades())),
     FactorSpec("large_trade_share_60s", "log", lambda: _largest(False)),
     FactorSpec("large_trade_net_share_60s", "log", lambda: _largest(True)),
     FactorSpec("trade_gap_ms", "log", _trade_gap),
     FactorSpec("buy_vol_60s", "log", lambda: _one_side(1)),
     FactorSpec("sell_vol_60s", "log", lambda: _one_side(-1)),
-    FactorSpec("book_event_intensity_60s", "log", lambda: F.when(_warm(_TICK, 60_000), _total(F.lit(1), _TICK, 60_000) / 60)),
+    FactorSpec("book_event_intensity_60s", "log", lambda: F.when(_warm(_tick(), 60_000), _total(F.lit(1), _tick(), 60_000) / 60)),
     FactorSpec("cum_trade_vol", "snapshot", _cum_volume),
     FactorSpec("total_bid_vol", "snapshot", lambda: F.when(F.col("total_bid") > 0, F.col("total_bid").cast("double"))),
     FactorSpec("total_ask_vol", "snapshot", lambda: F.when(F.col("total_ask") > 0, F.col("total_ask").cast("double"))),
@@ -230,7 +272,7 @@ def resolve(names: list[str] | None = None, allow_canary: bool = False) -> list[
 
 
 def snapshot_factors(snaps: DataFrame, names: list[str]) -> DataFrame:
-    return snaps.select("*", *[s.column().cast("double").alias(s.name) for s in resolve(names, True)])
+    return prepared(snaps).select("*", *[s.column().cast("double").alias(s.name) for s in resolve(names, True)])
 
 
 BASE = ["date", "exchange", "instrument", "channel", "ts_ms", "snap_seq", "flags", "mid_px", "last_px", "bid1_px", "ask1_px", "bid1_qty", "ask1_qty", "depth_bid5", "depth_ask5"]
@@ -239,10 +281,11 @@ BASE = ["date", "exchange", "instrument", "channel", "ts_ms", "snap_seq", "flags
 def base_columns(snaps: DataFrame) -> DataFrame:
     """Price and depth columns of the interchange row, from the snapshot's levels."""
     depth = lambda side: sum(F.coalesce(F.get(side, F.lit(k))["volume"], F.lit(0)) for k in range(5)).cast("long")
+    snaps = snaps if "_mid" in snaps.columns else prepared(snaps)
     return snaps.withColumns(
         {
-            "mid_px": MID / 1000.0, "last_px": _px("last"), "bid1_px": F.when(BP > 0, BP / 1000.0), "ask1_px": F.when(AP > 0, AP / 1000.0),
-            "bid1_qty": F.coalesce(BQ, F.lit(0)).cast("long"), "ask1_qty": F.coalesce(AQ, F.lit(0)).cast("long"),
+            "mid_px": mid() / 1000.0, "last_px": _px("last"), "bid1_px": F.when(bp() > 0, bp() / 1000.0), "ask1_px": F.when(ap() > 0, ap() / 1000.0),
+            "bid1_qty": F.coalesce(bq(), F.lit(0)).cast("long"), "ask1_qty": F.coalesce(aq(), F.lit(0)).cast("long"),
             "depth_bid5": depth("bids"), "depth_ask5": depth("asks"), "snap_seq": F.lit(-1).cast("long"),
         }
     )
@@ -261,22 +304,22 @@ def engine(
     from quantloom.operators.labels import with_labels
 
     specs = resolve(names, allow_canary)
-    ticks = ticks.where(S.in_universe("exchange", "instrument"))
-    every = snaps.where(S.in_session("exchange", "ts_ms"))
-    ticks, every = merge.absorb(ticks, every)
-    every = every.where(S.in_universe("exchange", "instrument"))
-    every = merge.members(ticks, merge.gap_flags(ticks, every, gap_per_instrument))
+    ticks, every = merge.absorb(ticks, snaps)
+    ours = S.in_universe("exchange", "instrument")
+    every = merge.gap_flags(ticks, every, gap_per_instrument, ours & S.in_session("exchange", "ts_ms"))
+    ticks = ticks.where(ours)
+    every = merge.members(ticks, every)
     by_source = {k: [s for s in specs if s.source == k] for k in ("snapshot", "log", "book")}
     ticks = ticks.withColumn("in_session", S.in_session("exchange", "ts_ms"))
     log = merge.event_log(ticks.where("in_session"), every).withColumn("in_session", F.lit(True))
     log = with_book(log)
     log = log.select("*", *[s.column().cast("double").alias(s.name) for s in [*by_source["log"], *by_source["book"]]])
     rows = log.where("kind = 1")
-    rows = base_columns(rows.select("*", *[s.column().cast("double").alias(s.name) for s in by_source["snapshot"]]))
+    rows = base_columns(prepared(rows).select("*", *[s.column().cast("double").alias(s.name) for s in by_source["snapshot"]]))
     flags = F.lit(0)
     for bit, on in (
         (S.FLAG_UNSYNCED, F.col("unsynced")), (S.FLAG_SEQ_GAP, F.col("seq_gap")),
-        (S.FLAG_IOPV_INVALID, ~F.coalesce(F.col("iopv") > 0, F.lit(False))), (S.FLAG_ONE_SIDED, ~F.coalesce(TWO, F.lit(False))),
+        (S.FLAG_IOPV_INVALID, ~F.coalesce(F.col("iopv") > 0, F.lit(False))), (S.FLAG_ONE_SIDED, ~two()),
     ):
         flags = flags.bitwiseOR(F.when(on, F.lit(bit)).otherwise(F.lit(0)))
     rows = rows.withColumn("flags", flags)

@@ -8,7 +8,7 @@ the unit whose order the feed defines; channel-days are independent.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -39,16 +39,18 @@ def absorb(ticks: DataFrame, snaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return t.drop("__key").join(at, [*CHANNEL, "seq"]), s.drop("__key").withColumn("at", F.col("pos"))
 
 
-def gap_flags(ticks: DataFrame, snaps: DataFrame, per_instrument: bool = False) -> DataFrame:
-    """Snapshots with ``seq_gap``: ticks jumped since the snapshot before.
+def gap_flags(ticks: DataFrame, snaps: DataFrame, per_instrument: bool = False, among: Column | None = None) -> DataFrame:
+    """Snapshots (those of ``among``) with ``seq_gap``: ticks jumped since the snapshot before.
 
-    By default the first in-session snapshot of the channel, of whatever instrument, carries the mark and
-    clears it; ``per_instrument`` marks the next snapshot of every instrument.
+    By default the first such snapshot of the channel, of whatever instrument, carries the mark and clears
+    it; ``per_instrument`` marks the next snapshot of every instrument. Jumps count whatever snapshot takes
+    the tick in.
     """
     jumps = ticks.where("gap AND at IS NOT NULL").groupBy(*CHANNEL, "at").agg(F.count("*").alias("jumps"))
     s = snaps.join(jumps, [*CHANNEL, "at"], "left")
     w = Window.partitionBy(*CHANNEL).orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     s = s.withColumn("__jumps", F.sum(F.coalesce("jumps", F.lit(0))).over(w))
+    s = s if among is None else s.where(among)
     own = Window.partitionBy(*CHANNEL, *(["instrument"] if per_instrument else [])).orderBy("pos")
     return s.withColumn("seq_gap", F.col("__jumps") > F.coalesce(F.lag("__jumps").over(own), F.lit(0))).drop("jumps", "__jumps")
 

@@ -87,7 +87,7 @@ class Series:
         return out
 
 
-def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle: str = "30 minutes") -> DataFrame:
+def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle_ms: int = 1_800_000) -> DataFrame:
     """A streaming event log -> rows with trailing factors and the label that followed.
 
     Rows come out when their label resolves; those left when a series goes idle come out without one.
@@ -107,7 +107,7 @@ def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle: str =
                 else:
                     series.tick(r)
             state.update((pickle.dumps(series),))
-            state.setTimeoutDuration(idle)
+            state.setTimeoutDuration(idle_ms)
         if rows:
             out = pd.DataFrame(rows, columns=["ts_ms", "mid_px", "ofi_60s", "trade_imbalance_60s", "n_trades_60s", "fwd_mid_ret"])
             yield out.assign(date=key[0], exchange=key[1], instrument=key[2], horizon_s=horizon_s)[[c.split()[0] for c in OUT.split(", ")]]
