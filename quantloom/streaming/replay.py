@@ -2,7 +2,7 @@
 
 The state of an (instrument, day) is its book, its trailing events and its pending labels. Rows of a
 micro-batch are put in merge order within their group; a log's micro-batches must come in order, as files
-of one channel-day do. Ended days time out and free their state.
+of one channel-day do. With an idle limit, ended days free their state.
 """
 
 from __future__ import annotations
@@ -87,10 +87,12 @@ class Series:
         return out
 
 
-def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle_ms: int = 1_800_000) -> DataFrame:
+def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle_ms: int | None = None) -> DataFrame:
     """A streaming event log -> rows with trailing factors and the label that followed.
 
-    Rows come out when their label resolves; those left when a series goes idle come out without one.
+    Rows come out when their label resolves. With ``idle_ms``, a series that gets nothing for so long is
+    closed and its rows left come out without a label; that needs a stream that runs on, since an idle
+    timer keeps a run-once query going.
     """
 
     def step(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -107,12 +109,13 @@ def stage1(log: DataFrame, window_s: int = 60, horizon_s: int = 15, idle_ms: int
                 else:
                     series.tick(r)
             state.update((pickle.dumps(series),))
-            state.setTimeoutDuration(idle_ms)
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
         if rows:
             out = pd.DataFrame(rows, columns=["ts_ms", "mid_px", "ofi_60s", "trade_imbalance_60s", "n_trades_60s", "fwd_mid_ret"])
             yield out.assign(date=key[0], exchange=key[1], instrument=key[2], horizon_s=horizon_s)[[c.split()[0] for c in OUT.split(", ")]]
 
-    return log.groupBy(*SERIES).applyInPandasWithState(step, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return log.groupBy(*SERIES).applyInPandasWithState(step, OUT, "state binary", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def bars(events: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
