@@ -4,7 +4,7 @@ Sharing out. Each SPAN-byte string belongs to its content-defined anchor (``anch
 strings have equal anchors at equal offsets, and only places whose anchor's gram occurs again can hold a
 repeat. The strings of one anchor occurrence form a context; equal contexts are collapsed into one with
 a weight before any text moves. Contexts of one gram that differ are cut into blocks of DEPTH starts.
-All strings of a block contain the same CORE bytes, so blocks meet by the core's digest, again collapsed
+All strings of a block contain the same SPAN - DEPTH + 1 bytes, its core, so blocks meet by the core's digest, again collapsed
 with weights; blocks whose core occurs once drop out.
 
 Merging. What is left in a meeting differs in at most DEPTH - 1 bytes on either side of the core. There
@@ -35,41 +35,50 @@ from quantloom.llm.common import SLICE, durable, without
 
 SPAN = 400
 DEPTH = 64
-CORE = SPAN - DEPTH + 1
+#: Bits that hold a distance within a context.
+BITS = 12
 #: Different blocks of one meeting that go through the merge.
 MEETING = 1024
 #: Symbols of a shard, and of the shards that are merged at a time (whole meetings only).
 SHARD, BATCH = 40_000, 200_000
 
 
+def _lo(at):
+    return F.shiftright(at, 2 * BITS)
+
+
+def _hi(at):
+    return F.shiftright(at, 2 * BITS) + at.bitwiseAND(F.lit((1 << BITS) - 1))
+
+
 def _long(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
 def _anchored(docs: DataFrame, span: int) -> DataFrame:
-    """(id, text hash, anchor, first, last, gram, context) of each anchor of each text."""
+    """(id, text hash, place, gram, context) of each anchor of each text; ``at`` packs the first start, the
+    anchor's distance from it and the number of further starts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["__id", "__th", "a", "lo", "hi", "f", "g"]
+        names = ["__id", "__th", "at", "f", "g"]
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                cols: list[list] = [[] for _ in range(7)]
+                cols: list[list] = [[] for _ in names]
                 for doc, th, text in zip(*(part.column(i).to_pylist() for i in range(3)), strict=True):
                     if text is None or len(text) < span:
                         continue
                     a, lo, hi, f = anchors(np.frombuffer(text, np.uint8), span)
                     cols[0].append(np.full(len(a), doc))
                     cols[1].append(np.full(len(a), th))
-                    for c, v in zip(cols[2:6], (a, lo, hi, f), strict=True):
-                        c.append(v)
-                    cols[6].append([context_hash(text, *x, span) for x in zip(a.tolist(), lo.tolist(), hi.tolist(), strict=True)])
+                    cols[2].append(lo << 2 * BITS | (a - lo) << BITS | (hi - lo))
+                    cols[3].append(f)
+                    cols[4].append([context_hash(text, *x, span) for x in zip(a.tolist(), lo.tolist(), hi.tolist(), strict=True)])
                 if cols[0]:
                     joined = [np.concatenate(c).astype(np.int64) for c in cols]
-                    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(joined, kinds, strict=True)], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in joined], names=names)
 
-    return docs.mapInArrow(run, "__id bigint, __th bigint, a int, lo int, hi int, f bigint, g bigint")
+    return docs.mapInArrow(run, "__id bigint, __th bigint, at bigint, f bigint, g bigint")
 
 
 def _blocks(held: DataFrame, span: int) -> DataFrame:
@@ -85,7 +94,8 @@ def _blocks(held: DataFrame, span: int) -> DataFrame:
                 rows = []
                 for text, contexts in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
                     for c in contexts:
-                        a, lo, hi = c["a"], c["lo"], c["hi"]
+                        lo = c["at"] >> 2 * BITS
+                        a, hi = lo + (c["at"] >> BITS & (1 << BITS) - 1), lo + (c["at"] & (1 << BITS) - 1)
                         for b in range((a - hi) // DEPTH, (a - lo) // DEPTH + 1):
                             p1, p2 = max(lo, a - DEPTH * b - DEPTH + 1), min(hi, a - DEPTH * b)
                             c1 = a - DEPTH * b
@@ -176,24 +186,22 @@ def repeats(keyed: DataFrame, span: int = SPAN, meeting: int = MEETING) -> DataF
     """(__id, __th, text as bytes) -> (__id, __th, lo, hi): starts of repeated strings, as intervals."""
     found = durable(_anchored(keyed, span))
     grams = found.groupBy("f").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("n > 1")
-    rows = found.join(grams.select("f", (F.col("g1") != F.col("g2")).alias("mixed")), "f")
-    rows = durable(rows)
-    alike = rows.where(~F.col("mixed")).select("__id", "__th", "lo", "hi")
+    rows = durable(found.join(grams.select("f", (F.col("g1") != F.col("g2")).alias("mixed")), "f"))
+    at = F.col("at")
+    alike = rows.where(~F.col("mixed")).select("__id", "__th", _lo(at).alias("lo"), _hi(at).alias("hi"))
 
     mixed = rows.where("mixed")
-    place = F.struct("__id", "__th", "a", "lo", "hi")
-    contexts = mixed.groupBy("f", "g").agg(F.count("*").alias("w"), F.min(place).alias("at"))
-    per_doc = contexts.groupBy(F.col("at.__id").alias("__id"), F.col("at.__th").alias("__th")).agg(
-        F.collect_list(F.struct("f", "g", "w", "at.a", "at.lo", "at.hi")).alias("contexts")
+    contexts = mixed.groupBy("f", "g").agg(F.count("*").alias("w"), F.min(F.struct("__id", "__th", "at")).alias("place"))
+    per_doc = contexts.groupBy(F.col("place.__id").alias("__id"), F.col("place.__th").alias("__th")).agg(
+        F.collect_list(F.struct("f", "g", "w", "place.at")).alias("contexts")
     )
-    held = keyed.join(per_doc, ["__id", "__th"]).select("text", "contexts")
-    # a document row that occurs twice gives its blocks twice: grouping by context first keeps one
-    blocks = _blocks(held, span).groupBy("m", "h", "f", "g", "off", "n").agg(F.max("w").alias("w"), F.max("left").alias("left"), F.max("right").alias("right"))
-    blocks = durable(blocks)
-    unlike = blocks.groupBy("m", "h").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
+    # a document row that occurs twice gives its contexts once
+    held = keyed.join(per_doc, ["__id", "__th"]).groupBy("__id", "__th").agg(F.first("text").alias("text"), F.first("contexts").alias("contexts"))
+    blocks = durable(_blocks(held.select("text", "contexts"), span))
+    met = blocks.groupBy("m").agg(F.sum("w").alias("all")).where("all > 1").select("m")
+    unlike = blocks.join(met, "m").groupBy("m", "h").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
     unlike = durable(unlike)
-    met = unlike.groupBy("m").agg(F.sum("w").alias("all"), F.count("*").alias("kinds")).where("all > 1")
-    unlike = durable(unlike.join(met.select("m", "kinds"), "m"))
+    unlike = unlike.join(unlike.groupBy("m").agg(F.count("*").alias("kinds")), "m")
     columns = ["m", "h", "w", "n", "left", "right"]
     one = unlike.where("kinds = 1").select("m", "h", F.sequence(F.lit(0), F.col("n") - 1).alias("at"))
     some = unlike.where((F.col("kinds") > 1) & (F.col("kinds") <= meeting)).select(*columns)
@@ -203,7 +211,7 @@ def repeats(keyed: DataFrame, span: int = SPAN, meeting: int = MEETING) -> DataF
     hits = hits.select("m", "h", F.explode(_runs(F.col("at"))).alias("r"))
     hits = hits.join(blocks.select("m", "h", "f", "g", "off"), ["m", "h"])
     hits = hits.select("f", "g", (F.col("off") + F.col("r.s")).alias("s"), (F.col("off") + F.col("r.e")).alias("e"))
-    back = mixed.join(hits, ["f", "g"]).select("__id", "__th", (F.col("lo") + F.col("s")).alias("lo"), (F.col("lo") + F.col("e")).alias("hi"))
+    back = mixed.join(hits, ["f", "g"]).select("__id", "__th", (_lo(at) + F.col("s")).alias("lo"), (_lo(at) + F.col("e")).alias("hi"))
     return alike.unionByName(back)
 
 
