@@ -291,38 +291,53 @@ def base_columns(snaps: DataFrame) -> DataFrame:
     )
 
 
-def engine(
-    ticks: DataFrame,
-    snaps: DataFrame,
+def merged(ticks: DataFrame, snaps: DataFrame, gap_per_instrument: bool = False) -> DataFrame:
+    """The merged event log of all instruments: what a replay needs, whatever factors are asked for later."""
+    ticks, every = merge.absorb(ticks, snaps)
+    ours = S.in_universe("exchange", "instrument")
+    every = merge.gap_flags(ticks, every, gap_per_instrument, ours & S.in_session("exchange", "ts_ms"))
+    ticks = ticks.where(ours)
+    every = merge.members(ticks, every)
+    log = merge.event_log(ticks.where(S.in_session("exchange", "ts_ms")), every)
+    return log.withColumn("in_session", F.lit(True))
+
+
+def from_log(
+    log: DataFrame,
     names: list[str] | None = None,
     horizons: tuple[int, ...] = (15, 30, 60, 300, 900),
     allow_canary: bool = False,
-    gap_per_instrument: bool = False,
     label_same_block: bool = True,
 ) -> DataFrame:
-    """Ticks and snapshots -> interchange rows: base columns, factors and strictly future labels."""
+    """Merged event log -> interchange rows. The book is replayed for order flow and the sync flag."""
     from quantloom.operators.labels import with_labels
 
     specs = resolve(names, allow_canary)
-    ticks, every = merge.absorb(ticks, snaps)
-    ours = S.in_universe("exchange", "instrument")
-    every = merge.gap_flags(ticks, every, gap_per_instrument, ours & S.in_session("exchange", "ts_ms"))
-    ticks = ticks.where(ours)
-    every = merge.members(ticks, every)
     by_source = {k: [s for s in specs if s.source == k] for k in ("snapshot", "log", "book")}
-    ticks = ticks.withColumn("in_session", S.in_session("exchange", "ts_ms"))
-    log = merge.event_log(ticks.where("in_session"), every).withColumn("in_session", F.lit(True))
     log = with_book(log)
     log = log.select("*", *[s.column().cast("double").alias(s.name) for s in [*by_source["log"], *by_source["book"]]])
-    rows = log.where("kind = 1")
-    rows = base_columns(prepared(rows).select("*", *[s.column().cast("double").alias(s.name) for s in by_source["snapshot"]]))
+    rows = prepared(log.where("kind = 1"))
+    rows = base_columns(rows.select("*", *[s.column().cast("double").alias(s.name) for s in by_source["snapshot"]]))
     flags = F.lit(0)
     for bit, on in (
         (S.FLAG_UNSYNCED, F.col("unsynced")), (S.FLAG_SEQ_GAP, F.col("seq_gap")),
         (S.FLAG_IOPV_INVALID, ~F.coalesce(F.col("iopv") > 0, F.lit(False))), (S.FLAG_ONE_SIDED, ~two()),
     ):
         flags = flags.bitwiseOR(F.when(on, F.lit(bit)).otherwise(F.lit(0)))
-    rows = rows.withColumn("flags", flags)
-    rows = with_labels(rows, horizons, same_block=label_same_block)
+    rows = with_labels(rows.withColumn("flags", flags), horizons, same_block=label_same_block)
     labels = [f"fwd_{k}_ret_{h}s" for h in horizons for k in ("mid", "last")]
     return rows.select(*BASE, *[s.name for s in specs], *labels)
+
+
+def engine(
+    ticks: DataFrame,
+    snaps: DataFrame,
+    names: list[str] | None = None,
+    horizons: tuple[int, ...] = (15, 30, 60, 300, 900),
+    allow_canary: bool = False,
+    gap_per_instrument: bool = False,
+    label_same_block: bool = True,
+) -> DataFrame:
+    """Ticks and snapshots -> interchange rows: base columns, factors and strictly future labels."""
+    resolve(names, allow_canary)
+    return from_log(merged(ticks, snaps, gap_per_instrument), names, horizons, allow_canary, label_same_block)

@@ -291,6 +291,23 @@ def engine_rows(spark, sf_dir):
     return rounded(factors.engine(market.ticks(spark, sf_dir), market.snapshots(spark, sf_dir)))
 
 
+@query()
+def replay_from_log(spark, sf_dir):
+    """Factors from the merged event log alone, as a replay cache gives it."""
+    log = checkpointed(factors.merged(market.ticks(spark, sf_dir), market.snapshots(spark, sf_dir)))
+    return rounded(factors.from_log(log, ["oir", "ofi_60s", "trade_imbalance_60s"], (15, 60)))
+
+
+@query(
+    f"""{_LOG},
+cn AS (SELECT *, sum(CASE WHEN kind = 0 AND is_trade THEN volume * side END) OVER (PARTITION BY date, instrument ORDER BY eff RANGE BETWEEN 1 FOLLOWING AND 15000 FOLLOWING) AS ahead FROM ef)
+SELECT date, instrument, ts_ms, CAST(sign(coalesce(ahead, 0)) AS DOUBLE) AS future_trade_sign FROM cn WHERE kind = 1"""
+)
+def canary_trade_sign(spark, sf_dir):
+    out = _log(spark, sf_dir).select("*", factors.REGISTRY["future_trade_sign"].column().alias("future_trade_sign"))
+    return out.where("kind = 1").select("date", "instrument", "ts_ms", "future_trade_sign")
+
+
 @query()
 def realised_volatility(spark, sf_dir):
     rows = _long_panel(spark, sf_dir).withColumn("valid", F.col("mid_px") > 0)
@@ -650,9 +667,9 @@ def stream_bars(spark, sf_dir):
     shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
     at = f"{shared}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
-    # a batch replay ends every window: no watermark holds rows back in complete mode
-    out = replay.bars(stream, late="3650 days")
-    q = out.writeStream.outputMode("complete").format("memory").queryName(f"bars_{uuid.uuid4().hex}").option("checkpointLocation", f"{at}/ck").trigger(availableNow=True).start()
-    q.awaitTermination()
-    got = spark.table(q.name)
+    # a replay of what is there: every window is given out, none is held back by the watermark
+    out = replay.bars(stream, late="3650 days").writeStream.outputMode("complete").option("checkpointLocation", f"{at}/ck")
+    out = out.foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{at}/bars")).trigger(availableNow=True)
+    out.start().awaitTermination()
+    got = spark.read.parquet(f"{at}/bars")
     return got.withColumns({"total": F.round("total", 4) + F.lit(0.0), "start": F.col("start").cast("timestamp_ntz")})

@@ -38,13 +38,7 @@ class Config:
     @staticmethod
     def load(path: str) -> Config:
         """From JSON, or from YAML where a YAML reader is installed."""
-        text = Path(path).read_text()
-        try:
-            given = json.loads(text)
-        except ValueError:
-            import yaml
-
-            given = yaml.safe_load(text)
+        given = _parsed(path)
         known = {k: tuple(v) if isinstance(v, list) else v for k, v in given.items() if k in Config.__dataclass_fields__}
         return Config(**known, extra={k: v for k, v in given.items() if k not in Config.__dataclass_fields__})
 
@@ -259,3 +253,92 @@ def golden_hash(rows: DataFrame) -> str:
     half = lambda a: F.sum(F.conv(F.substring(digest, a, 15), 16, 10).cast("decimal(38,0)"))
     r = rows.agg(F.count("*"), *[half(a) for a in (1, 16, 31, 46)]).first()
     return hashlib.sha256(",".join(map(str, [*sorted(rows.columns), *r])).encode()).hexdigest()
+
+
+def write_log(log: DataFrame, path: str) -> None:
+    """Replay cache: the merged event log by day; factors can be computed again from it alone."""
+    log.repartition("date", "exchange", "instrument").sortWithinPartitions("date", "exchange", "instrument", "at", "kind", "n").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date").parquet(path)
+
+
+def read_log(spark: SparkSession, path: str, days: Sequence[str] | None = None, instruments: Sequence[str] | None = None) -> DataFrame:
+    """Days by partition, instruments by a pushed-down filter: one instrument reads its own events only."""
+    log = spark.read.parquet(path).withColumn("date", F.col("date").cast("string"))
+    log = log if days is None else log.where(F.col("date").isin(list(days)))
+    return log if not instruments else log.where(F.col("instrument").isin(list(instruments)))
+
+
+def read_flat(spark: SparkSession, root: str, days: Sequence[str]) -> DataFrame:
+    """Days kept as dt=D.parquet, or as files in dt=D/; columns that a day lacks are NULL."""
+    out = None
+    for d in days:
+        path = next((p for p in (f"{root}/dt={d}.parquet", f"{root}/dt={d}") if Path(p).exists()), None)
+        if path is None:
+            raise FileNotFoundError(f"no partition of {d} in {root}")
+        part = spark.read.parquet(path)
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out
+
+
+def _parsed(path: str) -> dict:
+    text = Path(path).read_text()
+    try:
+        return json.loads(text)
+    except ValueError:
+        import yaml
+
+        return yaml.safe_load(text)
+
+
+def load_costs(path: str, conservative: bool = False) -> tuple[dict, object]:
+    """Commission scenarios and the borrow model (None if the file has none) from a fee table file."""
+    from quantloom.operators.trading import CostModel, ShortCost
+
+    doc = _parsed(path)
+    fees = doc["fees"]
+    rate = lambda k, f, d=0.0: float((fees.get(k) or {}).get(f, d))
+    which = "rate_per_side_conservative" if conservative else "rate_per_side_base"
+    common = {
+        "handling_rate": rate("handling_fee", "rate_per_side", 0.00004), "regulatory_rate": rate("regulatory_fee", which),
+        "transfer_rate": rate("transfer_fee", which), "stamp_rate": rate("stamp_duty", "rate_per_side"),
+    }
+    models = {k: CostModel(k, float(v["rate_per_side"]), float(v.get("min_per_order_cny", 0)), **common) for k, v in fees["commission"]["scenarios"].items()}
+    lending = doc.get("securities_lending") or {}
+    short = None
+    if lending.get("borrow_rate_annual") is not None:
+        short = ShortCost(float(lending["borrow_rate_annual"]), float(lending.get("min_charge_days", 1)), float(lending.get("day_count_base", 360)))
+        if not 0 <= short.rate <= 1 or short.min_days < 0 or short.base <= 0:
+            raise ValueError("borrow rate must be a share of 1, days and base positive")
+    return models, short
+
+
+def load_instruments(path: str, categories: dict[str, str]) -> dict:
+    """instrument -> settlement and mechanics, by category."""
+    from quantloom.operators.trading import Instrument
+
+    doc = _parsed(path)
+    t0 = set((doc.get("settlement") or {}).get("t0_categories", []))
+    m = doc.get("mechanics") or {}
+    return {k: Instrument("T+0" if c in t0 else "T+1", c, int(m.get("lot", 100)), int(m.get("max_order_units", 1_000_000))) for k, c in categories.items()}
+
+
+def choose_report(reports: list[dict], days: Sequence[str], explicit: str | None = None) -> dict | None:
+    """An explicit path first, else the report that shares most days, else the newest (path, stamp, days)."""
+    if explicit is not None:
+        return next(r for r in reports if r["path"] == explicit)
+    return max(reports, key=lambda r: (len(set(r["days"]) & set(days)), r["stamp"]), default=None)
+
+
+def latest_screens(spark: SparkSession, path: str) -> DataFrame:
+    """prototype -> its latest screen, one row a horizon, from JSON lines (prototype, stamp, horizons)."""
+    rows = spark.read.schema("prototype string, stamp string, horizons array<struct<horizon_s:int,mean_ic:double,t_stat_nw:double,passed:boolean>>").json(path)
+    last = rows.groupBy("prototype").agg(F.max_by("horizons", "stamp").alias("horizons"), F.max("stamp").alias("stamp"))
+    return last.select("prototype", "stamp", F.explode("horizons").alias("h")).select("prototype", "stamp", "h.*")
+
+
+def family_table(screens: DataFrame, families: dict[str, str]) -> DataFrame:
+    """family -> prototypes screened, admitted, and its best |t|."""
+    names = screens.sparkSession.createDataFrame(sorted(families.items()), "prototype string, family string")
+    return F.broadcast(names).join(screens, "prototype", "left").groupBy("family").agg(
+        F.countDistinct(F.when(F.col("horizon_s").isNotNull(), F.col("prototype"))).alias("n_screened"),
+        F.countDistinct(F.when(F.col("passed"), F.col("prototype"))).alias("n_admitted"), F.max(F.abs("t_stat_nw")).alias("best_abs_t"),
+    )

@@ -226,6 +226,50 @@ def test_store_round_trip(spark, day, tmp_path):
     assert a == b and a != store.golden_hash(back.limit(62))
 
 
+def test_replay_cache_gives_the_same_rows(spark, day, tmp_path):
+    ticks, snaps, _, _ = day
+    names = ["oir", "ofi_60s", "n_trades_60s"]
+    store.write_log(factors.merged(ticks, snaps), str(tmp_path / "log"))
+    log = store.read_log(spark, str(tmp_path / "log"))
+    full = factors.engine(ticks, snaps, names)
+    assert store.golden_hash(factors.from_log(log, names)) == store.golden_hash(full)
+    one = factors.from_log(store.read_log(spark, str(tmp_path / "log"), ["20250701"], ["510300"]), names)
+    assert validate.differences(full.where("instrument = '510300'"), one, ["instrument", "ts_ms"], [*names, "flags"]).count() == 0
+
+
+def test_parameter_files_and_reports(spark, tmp_path):
+    import json
+
+    fees = {
+        "fees": {
+            "commission": {"scenarios": {"a": {"rate_per_side": 0.0001, "min_per_order_cny": 5}}}, "handling_fee": {"rate_per_side": 0.00004},
+            "regulatory_fee": {"rate_per_side_base": 0, "rate_per_side_conservative": 0.00002},
+        },
+        "securities_lending": {"borrow_rate_annual": 0.08}, "settlement": {"t0_categories": ["bond_etf"]}, "mechanics": {"lot": 100},
+    }
+    path = str(tmp_path / "fees.json")
+    store.write_json(fees, path)
+    models, short = store.load_costs(path, conservative=True)
+    assert models["a"].regulatory_rate == 0.00002 and models["a"].min_commission == 5 and short.base == 360
+    metas = store.load_instruments(path, {"x": "bond_etf", "y": "equity_etf"})
+    assert metas["x"].settlement == "T+0" and metas["y"].settlement == "T+1"
+    reports = [{"path": "a", "stamp": 1, "days": ["d1"]}, {"path": "b", "stamp": 2, "days": []}]
+    assert store.choose_report(reports, ["d1"])["path"] == "a" and store.choose_report(reports, [])["path"] == "b" and store.choose_report(reports, [], "b")["path"] == "b"
+    lines = [{"prototype": "p", "stamp": s, "horizons": [{"horizon_s": 15, "mean_ic": m, "t_stat_nw": -4.0, "passed": s == "2"}]} for s, m in (("1", 0.1), ("2", 0.2))]
+    (tmp_path / "s.json").write_text("\n".join(map(json.dumps, lines)))
+    screens = store.latest_screens(spark, str(tmp_path / "s.json"))
+    assert screens.first()["mean_ic"] == 0.2
+    assert {tuple(r) for r in store.family_table(screens, {"p": "f", "q": "g"}).collect()} == {("f", 1, 1, 4.0), ("g", 0, 0, None)}
+    assert "| a |" in store.markdown([{"a": 1.23456, "b": None}], "t")
+    store.write_json({"horizons": [15], "panel_root": "x", "other": 1}, path)
+    config = store.Config.load(path)
+    assert config.horizons == (15,) and config.extra == {"other": 1}
+    flat = tmp_path / "flat"
+    spark.range(3).write.parquet(str(flat / "dt=20250101.parquet"))
+    spark.range(2).withColumn("x", F.lit(1)).write.parquet(str(flat / "dt=20250102"))
+    assert store.read_flat(spark, str(flat), ["20250101", "20250102"]).count() == 5
+
+
 def test_manifest_and_dates(tmp_path):
     assert store.expand_dates("20250630..20250702,20250701,20250710") == ["20250630", "20250701", "20250702", "20250710"]
     with pytest.raises(ValueError):
