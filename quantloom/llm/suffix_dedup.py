@@ -185,8 +185,10 @@ def _runs(at):
 def repeats(keyed: DataFrame, span: int = SPAN, meeting: int = MEETING) -> DataFrame:
     """(__id, __th, text as bytes) -> (__id, __th, lo, hi): starts of repeated strings, as intervals."""
     found = durable(_anchored(keyed, span))
+    # tables of their own (here and below), so that both sides of a join are plain shuffles, which can be split
     grams = found.groupBy("f").agg(F.count("*").alias("n"), F.min("g").alias("g1"), F.max("g").alias("g2")).where("n > 1")
-    rows = durable(found.join(grams.select("f", (F.col("g1") != F.col("g2")).alias("mixed")), "f"))
+    grams = durable(grams.select("f", (F.col("g1") != F.col("g2")).alias("mixed")))
+    rows = durable(found.join(grams, "f"))
     at = F.col("at")
     alike = rows.where(~F.col("mixed")).select("__id", "__th", _lo(at).alias("lo"), _hi(at).alias("hi"))
 
@@ -198,14 +200,15 @@ def repeats(keyed: DataFrame, span: int = SPAN, meeting: int = MEETING) -> DataF
     # a document row that occurs twice gives its contexts once
     held = keyed.join(per_doc, ["__id", "__th"]).groupBy("__id", "__th").agg(F.first("text").alias("text"), F.first("contexts").alias("contexts"))
     blocks = durable(_blocks(held.select("text", "contexts"), span))
-    met = blocks.groupBy("m").agg(F.sum("w").alias("all")).where("all > 1").select("m")
+    met = durable(blocks.groupBy("m").agg(F.sum("w").alias("all")).where("all > 1").select("m"))
     unlike = blocks.join(met, "m").groupBy("m", "h").agg(F.sum("w").alias("w"), F.max("n").alias("n"), F.max("left").alias("left"), F.max("right").alias("right"))
     unlike = durable(unlike)
     unlike = unlike.join(unlike.groupBy("m").agg(F.count("*").alias("kinds")), "m")
     columns = ["m", "h", "w", "n", "left", "right"]
     one = unlike.where("kinds = 1").select("m", "h", F.sequence(F.lit(0), F.col("n") - 1).alias("at"))
     some = unlike.where((F.col("kinds") > 1) & (F.col("kinds") <= meeting)).select(*columns)
-    some = _merged(some.repartition("m").sortWithinPartitions("m", "h"))
+    tasks = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # by work, not by bytes
+    some = _merged(some.repartition(tasks, "m").sortWithinPartitions("m", "h"))
     many = _counted(unlike.where(F.col("kinds") > meeting).select(*columns))
     hits = one.unionByName(some).unionByName(many)
     hits = hits.select("m", "h", F.explode(_runs(F.col("at"))).alias("r"))
