@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions.scalar import ratio
-from quantloom.functions.windows import Frame
+from quantloom.functions.windows import FLAT, Frame
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(<=|>=|!=|[-+*/()<>=&|,]))")
-_ROWS = re.compile(r"^(zN|z|mean|std|sum|min|max|wma|lag|lead|delta)(\d+)$")
+_ROWS = re.compile(r"^(zN|z|mean|std|sum|min|max|wma|lag|lead|delta|cnt|tot|sq)(\d+)$")
 _TESTS = ("<", ">", "<=", ">=", "=", "!=", "&", "|")
 _CUM = ("cum_max", "cum_min", "cum_sum")
 _LEVELS = [("|",), ("&",), ("<", ">", "<=", ">=", "=", "!="), ("+", "-"), ("*", "/")]
@@ -211,17 +211,56 @@ def _spark(node: Node, frame: Frame):
 def compute(df: DataFrame, formulas: dict[str, str | Node], frame: Frame = Frame(), keep: list[str] | None = None) -> DataFrame:
     """df with a column for each formula: as many projections as windows are nested, one sort."""
     nodes = {k: parse(v) if isinstance(v, str) else v for k, v in formulas.items()}
-    p = plan(nodes)
+    folds = any("ewm" in str(n) for n in nodes.values())  # a fold has no SQL that both engines read
+    p = plan(nodes if folds else {k: _expand(v) for k, v in nodes.items()})
     out = df
-    for stage in p.stages:
-        out = out.select("*", *[_spark(v, frame).alias(k) for k, v in stage.items()])
     kept = df.columns if keep is None else keep
-    return out.select(*kept, *[_spark(v, frame).cast("double").alias(k) for k, v in p.outputs.items()])
+    if folds:
+        for stage in p.stages:
+            out = out.select("*", *[_spark(v, frame).alias(k) for k, v in stage.items()])
+        return out.select(*kept, *[_spark(v, frame).cast("double").alias(k) for k, v in p.outputs.items()])
+    # the same expressions as text: one call a column instead of one a node
+    for stage in p.stages:
+        out = out.selectExpr("*", *[f"{_sql(v, frame)} AS `{k}`" for k, v in stage.items()])
+    return out.selectExpr(*[f"`{c}`" for c in kept], *[f"CAST({_sql(v, frame)} AS DOUBLE) AS `{k}`" for k, v in p.outputs.items()])
 
 
 # DuckDB
 
 
+def _expand(node: Node) -> Node:
+    """Rolling means, sums, deviations and z-scores in terms of what their windows hold: count, total and
+    total of squares, which formulas over one input share."""
+    if not isinstance(node, tuple):
+        return node
+    node = tuple(_expand(x) for x in node)
+    m = _ROWS.match(node[1]) if node[0] == "call" else None
+    if not m or m.group(1) not in ("z", "zN", "mean", "std", "sum"):
+        return node
+    what, n, x = m.group(1), int(m.group(2)), node[2]
+    count, total, squares = (("call", f"{k}{n}", x) for k in ("cnt", "tot", "sq"))
+    rows, mean = ("num", float(n)), ("/", total, ("num", float(n)))
+    var = ("/", ("-", squares, ("*", total, mean)), ("num", n - 1.0))
+    spread = (">", var, ("*", ("num", FLAT), ("/", squares, rows)))
+    sd = ("call", "sqrt", var)
+    value = {
+        "mean": mean, "sum": total, "std": ("call", "if", spread, sd, ("num", 0.0)),
+        "z": ("call", "if", spread, ("/", ("-", x, mean), sd), ("num", 0.0)),
+        "zN": ("call", "if", spread, ("/", ("-", x, mean), sd), ("null",)),
+    }[what]
+    return ("call", "if", ("=", count, rows), value, ("null",))
+
+
+def _held(what: str, x: str, n: int, part: str) -> str:
+    """What the last n rows hold, as the difference of two running totals (see ``windows``)."""
+    x = f"CASE WHEN NOT isnan({x}) AND abs({x}) <> 'Infinity'::DOUBLE THEN {x} END"
+    upto, before = (f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})" for end in ("CURRENT ROW", f"{n} PRECEDING"))
+    if what == "cnt":
+        return f"(count({x}) {upto} - count({x}) {before})"
+    v = x if what == "tot" else f"pow({x}, 2)"
+    return f"(coalesce(sum({v}) {upto}, 0D) - coalesce(sum({v}) {before}, 0D))"
+
+
 def _sql(node: Node, frame: Frame) -> str:
     kind = node[0]
     if kind == "num":
@@ -246,6 +285,8 @@ def _sql(node: Node, frame: Frame) -> str:
         rows = f"OVER ({part} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         x = f"CAST({a[0]} AS DOUBLE)"
         full = f"count({x}) {rows} = {n}"
+        if what in ("cnt", "tot", "sq"):
+            return _held(what, x, n, part)
         if what in ("z", "zN"):
             sd = f"stddev_samp({x}) {rows}"
             flat = "0.0" if what == "z" else "NULL"
@@ -259,11 +300,12 @@ def _sql(node: Node, frame: Frame) -> str:
         if what == "wma":
             terms = " + ".join(f"lag({x}, {k}) OVER ({part}) * {n - k}" for k in range(n))
             return f"CASE WHEN {full} THEN ({terms}) / {n * (n + 1) / 2} END"
-        fn = {"mean": "avg", "std": "stddev_samp", "sum": "sum", "min": "min", "max": "max"}[what]
+        fn = {"mean": "avg", "std": "stddev_samp"}.get(what, what)
         return f"CASE WHEN {full} THEN {fn}({x}) {rows} END"
     if name in _CUM:
         fn = name[4:]
-        return f"CASE WHEN {a[0]} IS NOT NULL THEN {fn}({a[0]}) OVER ({part} ROWS UNBOUNDED PRECEDING) END"
+        x = f"CAST({a[0]} AS DOUBLE)" if fn == "sum" else a[0]
+        return f"CASE WHEN {a[0]} IS NOT NULL THEN {fn}({x}) OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END"
     if name == "ewm":
         alpha, least, x = node[2][1], int(node[3][1]), a[2]
         seen = f"list({x}) FILTER ({x} IS NOT NULL) OVER ({part} ROWS UNBOUNDED PRECEDING)"
