@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -143,7 +143,8 @@ class Frame:
         return F.when(warm & col(valid), F.sqrt(F.greatest(total, F.lit(0.0))))
 
     def forward(self, ms: int, **values) -> Column:
-        """Struct (ts, values...) of the first row at or after ts + ms: a forward as-of without a join."""
+        """Struct (ts, values...) of the first row at or after ts + ms, as one expression: every row reads
+        on to the end of its series, so this is for short series; ``with_forward`` is for long ones."""
         ts = self.order[0]
         fields = [col(ts).alias("ts"), *[col(v).alias(k) for k, v in values.items()]]
         return F.min(F.struct(*fields)).over(self.w.rangeBetween(ms, Window.unboundedFollowing))
@@ -175,3 +176,21 @@ def average_rank(x, keys) -> Column:
 def correlation(x, y) -> Column:
     """Pearson correlation; NULL without dispersion."""
     return ratio(F.covar_pop(col(x), col(y)), F.stddev_pop(col(x)) * F.stddev_pop(col(y)))
+
+
+def with_forward(df: DataFrame, frame: Frame, horizons_ms: dict[str, int], values: dict[str, str]) -> DataFrame:
+    """Append, for each name, a struct (ts, values...) of the first row at or after ts + ms; NULL if none.
+
+    Rows and the moments they ask for are put into one order, latest first, where the last row seen is the
+    answer: a sort and one running frame for all horizons. A row is told by its keys and order column.
+    """
+    ts, keys = frame.order[0], list(frame.keys)
+    seen = F.struct(F.col(ts).alias("ts"), *[F.col(v).alias(k) for k, v in values.items()])
+    rows = df.select(*keys, F.col(ts).alias("__k"), F.lit(0).alias("__ask"), F.lit(None).cast("string").alias("__name"), F.lit(None).cast("bigint").alias("__of"), seen.alias("__v"))
+    asked = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(ms).alias("ms")) for n, ms in horizons_ms.items()]))
+    asks = df.select(*keys, F.col(ts).cast("bigint").alias("__of"), asked.alias("__a"))
+    asks = asks.select(*keys, (F.col("__of") + F.col("__a.ms")).alias("__k"), F.lit(1).alias("__ask"), F.col("__a.n").alias("__name"), "__of", F.lit(None).cast(rows.schema["__v"].dataType).alias("__v"))
+    back = Window.partitionBy(*keys).orderBy(F.desc("__k"), "__ask").rowsBetween(Window.unboundedPreceding, 0)
+    found = rows.unionByName(asks).withColumn("__v", F.last("__v", ignorenulls=True).over(back)).where("__ask = 1")
+    wide = found.groupBy(*keys, "__of").agg(*[F.first(F.when(F.col("__name") == n, F.col("__v")), ignorenulls=True).alias(n) for n in horizons_ms])
+    return df.join(wide.withColumnRenamed("__of", ts), [*keys, ts], "left")

@@ -1,4 +1,4 @@
-"""Forward return labels: the first snapshot at or after t + H, found by a range window, no join."""
+"""Forward return labels: the first snapshot at or after t + H, by a backward running frame."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quantloom.functions import scalar as S
-from quantloom.functions.windows import Frame
+from quantloom.functions.windows import Frame, with_forward
 
 HORIZONS = (15, 30, 60, 300, 900)
 
@@ -18,7 +18,7 @@ def with_labels(rows: DataFrame, horizons=HORIZONS, same_block: bool = True, fra
     resolving snapshot must be too; without, a sparse series may resolve after the break.
     """
     seen = {h: f"__at{h}" for h in horizons}
-    ahead = rows.select("*", *[frame.forward(h * 1000, mid="mid_px", last="last_px").alias(c) for h, c in seen.items()])
+    ahead = with_forward(rows, frame, {c: h * 1000 for h, c in seen.items()}, {"mid": "mid_px", "last": "last_px"})
     out = {}
     for h, c in seen.items():
         ok = S.horizon_fits("exchange", "ts_ms", h * 1000)

@@ -33,8 +33,9 @@ def absorb(ticks: DataFrame, snaps: DataFrame) -> tuple[DataFrame, DataFrame]:
     keys = t.select(*CHANNEL, "__key", F.lit(0).alias("kind"), F.col("seq").alias("n")).unionByName(
         s.select(*CHANNEL, "__key", F.lit(1).alias("kind"), F.col("pos").alias("n"))
     )
-    ahead = Window.partitionBy(*CHANNEL).orderBy("__key", "kind", "n").rowsBetween(0, Window.unboundedFollowing)
-    keys = keys.withColumn("at", F.first(F.when(F.col("kind") == 1, F.col("n")), ignorenulls=True).over(ahead))
+    # latest first, so that the next snapshot is the last one seen: a running frame, not one to the end
+    back = Window.partitionBy(*CHANNEL).orderBy(F.desc("__key"), F.desc("kind"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    keys = keys.withColumn("at", F.last(F.when(F.col("kind") == 1, F.col("n")), ignorenulls=True).over(back))
     at = keys.where("kind = 0").select(*CHANNEL, F.col("n").alias("seq"), "at")
     return t.drop("__key").join(at, [*CHANNEL, "seq"]), s.drop("__key").withColumn("at", F.col("pos"))
 
@@ -77,7 +78,8 @@ def event_log(ticks: DataFrame, snaps: DataFrame) -> DataFrame:
     order = Window.partitionBy(*SERIES).orderBy("at", "kind", "n")
     snap_ts = F.when(F.col("kind") == 1, F.col("ts_ms"))
     log = log.withColumn("__before", F.last(snap_ts, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1)))
-    log = log.withColumn("__next", F.first(snap_ts, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)))
+    back = Window.partitionBy(*SERIES).orderBy(F.desc("at"), F.desc("kind"), F.desc("n")).rowsBetween(Window.unboundedPreceding, 0)
+    log = log.withColumn("__next", F.last(snap_ts, ignorenulls=True).over(back))
     top = F.max(F.when(F.col("kind") == 0, F.col("ts_ms"))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     held = F.greatest(F.least(top, F.coalesce("__next", top)), F.coalesce(F.col("__before") + 1, F.lit(0)))
     return log.withColumn("eff_ms", F.when(F.col("kind") == 1, F.col("ts_ms")).otherwise(held)).drop("__before", "__next")

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from quantloom.functions import formula, prototypes
 from quantloom.functions import scalar as S
-from quantloom.functions.windows import Frame
+from quantloom.functions.windows import Frame, with_forward
 from quantloom.operators import book, digest, explore, factors, merge, trading, validate
 from quantloom.operators import evaluate as E
 from quantloom.operators.labels import with_labels
@@ -75,7 +75,8 @@ def imbalance_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = frame.trailing(432_000_000)
     b, s = F.sum("buy").over(w), F.sum("sell").over(w)
     warm = F.col("ts_ms") - F.min("ts_ms").over(frame.so_far) >= 432_000_000
-    ahead = frame.forward(86_400_000, v="value")["v"]
+    f = with_forward(f, frame, {"__day": 86_400_000}, {"v": "value"})
+    ahead = F.col("__day.v")
     return f.select("user_id", "event_id", "ts_ms", F.when(warm, S.ratio(b - s, b + s)).alias("imbalance"), S.ratio(ahead - F.col("value"), "value").alias("fwd"))
 
 
