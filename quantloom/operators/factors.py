@@ -21,6 +21,7 @@ from quantloom.functions.windows import Frame
 from quantloom.operators import merge
 from quantloom.operators.book import with_book
 from quantloom.operators.merge import SERIES
+from quantloom.session import checkpointed
 
 SNAP = Frame(tuple(SERIES), ("ts_ms",))
 
@@ -340,4 +341,5 @@ def engine(
 ) -> DataFrame:
     """Ticks and snapshots -> interchange rows: base columns, factors and strictly future labels."""
     resolve(names, allow_canary)
-    return from_log(merged(ticks, snaps, gap_per_instrument), names, horizons, allow_canary, label_same_block)
+    # the log is read by the book, the factors and their join: it is merged once
+    return from_log(checkpointed(merged(ticks, snaps, gap_per_instrument)), names, horizons, allow_canary, label_same_block)
