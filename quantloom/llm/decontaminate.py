@@ -200,3 +200,20 @@ def byte_spans(text: bytes | None, starts: list[int], ends: list[int]) -> list[l
     edge = np.diff(np.concatenate(([0], isword.view(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     return [[int(first[a]), int(last[b - 1])] for a, b in zip(starts, ends, strict=True)]
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+#: The same rows by joining all windows: fine for a check, and no way to scan a corpus.
+ORACLE = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS id, {_WORDS} AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark),
+s AS (SELECT item, ws, least({WINDOW}, len(ws)) AS k FROM b WHERE len(ws) > 0),
+p AS (SELECT DISTINCT item, k, array_to_string(ws[i + 1 : i + k], ' ') AS w FROM (SELECT item, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM s)),
+x AS (SELECT id, ws, k, unnest(range(len(ws) - k + 1)) AS i FROM d, (SELECT DISTINCT k FROM p) WHERE len(ws) >= k),
+m AS (SELECT x.id, x.i, x.k, p.item FROM x JOIN p ON p.k = x.k AND p.w = array_to_string(x.ws[x.i + 1 : x.i + x.k], ' ')),
+h AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + k)) AS j FROM m) GROUP BY id),
+t AS (SELECT id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM m GROUP BY id)
+SELECT d.doc_id, CAST(len(d.ws) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.items, '')) AS items_sha256,
+       coalesce(h.n_hit, 0) > 0 AND 20 * coalesce(h.n_hit, 0) >= len(d.ws) AS contaminated
+FROM d LEFT JOIN h USING (id) LEFT JOIN t USING (id)
+"""
