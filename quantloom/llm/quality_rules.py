@@ -176,3 +176,43 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
         (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"),
         "broken",
     )
+
+
+def _oracle() -> str:
+    """The registered query's rows in DuckDB."""
+    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, CAST({e.replace(' / ', ' AS DOUBLE) / ')} AS v FROM c WHERE n_words > 0" for k, (e, _) in RULES.items())
+    room = " ".join(f"WHEN '{k}' THEN {r}::DOUBLE" for k, (_, r) in RULES.items())
+
+    def limits(name: str, keys: str) -> str:
+        part = f"PARTITION BY {keys}rule"
+        value = lambda b: f"CASE WHEN {b} = 0 THEN 0::DOUBLE ELSE pow({GAMMA}::DOUBLE, {b} - {1 << 20}) END"
+        return f"""
+{name}0 AS (SELECT {keys}rule, bin, sum(n) AS n FROM k GROUP BY {keys}rule, bin),
+{name}1 AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS every FROM {name}0),
+{name}2 AS (SELECT {keys}rule, min(CASE WHEN upto >= every * 0.5::DOUBLE THEN bin END) AS mid, min(CASE WHEN upto >= every * {UPPER}::DOUBLE THEN bin END) AS up, max(every) AS n FROM {name}1 GROUP BY {keys}rule),
+{name} AS (SELECT {keys}rule, n, {value('mid')} + greatest({SPREAD}::DOUBLE * ({value('up')} - {value('mid')}), CASE rule {room} END) AS lim FROM {name}2)"""
+
+    over = {
+        k: f"coalesce(n_words > 0 AND CAST({e.replace(' / ', ' AS DOUBLE) / nullif(')}, 0) > (SELECT lim FROM g WHERE g.rule = '{k}' AND g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source), false)"
+        for k, (e, _) in RULES.items()
+    }
+    broken = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in over.items())
+    space = r"\x20\x09-\x0D"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{space}]+') AS ws,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{space}]')) AS ls FROM documents),
+w AS (SELECT id, i, count(*) OVER (PARTITION BY id, array_to_string(ws[i + 1 : i + {N}], ' ')) AS n FROM (SELECT id, ws, unnest(range(len(ws) - {N - 1})) AS i FROM d WHERE len(ws) >= {N})),
+r AS (SELECT id, count(DISTINCT j) AS n FROM (SELECT id, unnest(range(i, i + {N})) AS j FROM w WHERE n > 1) GROUP BY id),
+c AS (SELECT d.doc_id, d.lang, d.source, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[{space}]', '', 'g')) AS BIGINT) AS word_chars,
+             CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
+             CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (id)),
+f AS ({unpivot}),
+k AS (SELECT lang, source, rule, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(GAMMA)!r}::DOUBLE) AS BIGINT) + {1 << 20} ELSE 0 END AS bin, count(*) AS n FROM f GROUP BY ALL),
+{limits('t1', 'lang, source, ')}, {limits('t2', 'lang, ')}, {limits('t3', '')},
+g AS (SELECT t1.lang, t1.source, t1.rule, CASE WHEN t1.n >= {MIN_GROUP} THEN t1.lim WHEN t2.n >= {MIN_GROUP} THEN t2.lim ELSE t3.lim END AS lim
+      FROM t1 JOIN t2 ON t1.rule = t2.rule AND t1.lang IS NOT DISTINCT FROM t2.lang JOIN t3 ON t1.rule = t3.rule),
+o AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {broken}) AS broken FROM c)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM o"""
+
+
+ORACLE = _oracle()

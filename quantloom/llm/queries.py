@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quantloom.llm import cnn, decontaminate as benchmark, language, line_dedup, mixing, pseudonyms, toxicity
+from quantloom.llm import cnn, decontaminate as benchmark, language, line_dedup, mixing, pseudonyms, quality_rules as rules, toxicity
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.quality_rules import quality_rules
@@ -74,4 +74,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op3_decontaminate": benchmark.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_mix": mixing.ORACLE}
+    return {"op3_decontaminate": benchmark.ORACLE, "op6_line_dedup": line_dedup.ORACLE, "op7_mix": mixing.ORACLE, "op10_quality_rules": rules.ORACLE}
