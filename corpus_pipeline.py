@@ -17,7 +17,7 @@ from quantloom.llm import cnn, mixing
 from quantloom.llm.common import table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.line_dedup import dedup_lines
-from quantloom.llm.simhash import near_duplicates
+from quantloom.llm.similar import similar_documents
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -37,10 +37,11 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: the one with the smallest doc_id.
 
-    Rows without a doc_id can't be told apart and all stay.
+    Near-duplicates have sets of 5-word shingles at Jaccard similarity 0.8 or more. Rows without a doc_id
+    can't be told apart and all stay.
     """
-    found = near_duplicates(docs.select("doc_id", "text"), keep=["doc_id"])
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
+    found = similar_documents(docs.select("doc_id", "text"))
+    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
     named = docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return named.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
 
