@@ -45,7 +45,7 @@ _PATTERN = re.compile(
     r"|(?<![0-9A-Za-z])(?P<card>[0-9](?:[ \-]?[0-9]){12,18})(?![0-9])"
 )
 #: Every value has one of these; the pattern is tried only in the words around them.
-_HINT = re.compile(r"[0-9@]+")
+_HINT = re.compile(r"[0-9@]+|AKIA")
 _SPACE = re.compile(r"\s")
 #: Words before a hint that a value can start in, and the characters that they can have.
 WORDS_BEFORE, REACH = 2, 1000
@@ -303,7 +303,7 @@ def pseudonymize(docs: DataFrame, key: bytes, keep: list[str] | None = None) ->
     empty; rows may repeat and are treated alike. Input columns named like an added one are dropped.
     """
     shared = docs.sparkSession.sparkContext.broadcast(key)
-    hint = re.compile(rb"[0-9@]")
+    hint = re.compile(rb"[0-9@]|AKIA")
 
     def rows():
         vault = Vault(shared.value)
