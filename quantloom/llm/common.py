@@ -21,20 +21,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def durable(df: DataFrame) -> DataFrame:
     """Cut the lineage with a checkpoint in the shared folder that spark.checkpoint.dir names.
 
-    A folder of our own is used only where that setting is absent (tests, local runs).
+    A folder of our own is used only where that setting is absent in a local run, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share; an error names the missing setting on a cluster."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.mkdtemp()
+
+
 def crc_bucket(column: str, n: int):
     """crc32 of an id written as text, modulo n; null ids count as the empty text."""
     text = F.coalesce(F.col(column).cast("string"), F.lit(""))
     return F.pmod(F.crc32(text.cast("binary")), F.lit(n))
 
 
+def doc_key(column: str = "doc_id"):
+    """An id as text, whatever its type; a null id is told apart from all texts."""
+    return F.coalesce(F.concat(F.lit("="), F.col(column).cast("string")), F.lit(""))
+
+
+def held_out_second(scored: DataFrame, held, added: int = 2) -> DataFrame:
+    """Put held_out before the last ``added`` columns; it replaces an input column of that name."""
+    names = [c for c in scored.columns if c.lower() != "held_out"]
+    columns = [F.col(f"`{c}`") for c in names]
+    return scored.select(*columns[:-added], held.alias("held_out"), *columns[-added:])
+
+
 def without(df: DataFrame, names: list[str]) -> DataFrame:
     """df without the columns (whatever their case) that an operator is about to add."""
     taken = {n.lower() for n in names}
@@ -85,7 +107,8 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, keep) -> DataFrame:
     """Texts of at most ``per_class`` labelled documents per class, chosen by a hash of doc_id.
 
-    Only ids are ranked; the texts come from one join against that bounded list of ids.
+    Only ids are ranked; the texts come from one join against that bounded list of ids. Of the texts of
+    one doc_id, the least counts, so that repeated ids don't widen the sample.
     """
     ids = labels.where(keep & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(
         F.max(label).alias("y")
@@ -94,4 +117,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
     for y in (0, 1):
         part = ids.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
