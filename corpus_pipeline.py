@@ -7,14 +7,13 @@ of the mix: a row for each document that it takes, with the words taken (repeats
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantloom.llm import cnn, mixing
-from quantloom.llm.common import table
+from quantloom.llm.common import shared_folder, table
 from quantloom.llm.decontaminate import decontaminate
 from quantloom.llm.line_dedup import dedup_lines
 from quantloom.llm.similar import similar_documents
@@ -35,15 +34,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dups(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id.
+    """One document of each group of near-duplicates: the one with the smallest doc_id, then text hash.
 
-    Near-duplicates have sets of 5-word shingles at Jaccard similarity 0.8 or more. Rows without a doc_id
-    can't be told apart and all stay.
+    Near-duplicates have sets of 5-word shingles at Jaccard similarity 0.8 or more, or the same words. The
+    links come from the SimHash index and, for what its 2 bits don't reach, from signatures. Texts are told
+    apart by doc_id and text, so neither a shared nor a missing doc_id loses a text of its own.
     """
-    found = similar_documents(docs.select("doc_id", "text"))
-    first = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    named = docs.select(COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(COLUMNS).unionByName(docs.where("doc_id IS NULL").select(COLUMNS))
+    return similar_documents(docs, keep=COLUMNS, one_of_each=True).select(COLUMNS)
 
 
 def benchmark_free(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -72,8 +69,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written to the shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{shared}/corpus-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -1,14 +1,19 @@
 """Language identification by cross-parsing entropy.
 
-For each language, a suffix automaton of labelled sample text recognises every substring of it. A text
-is parsed greedily into the longest matches; the language that needs the fewest phrases (normalised by
-length, which is the same for all) wins. The automaton walk needs no suffix links once built, so it is
-a dense table of next states with the restart after a miss folded in, and many pieces of many texts
-walk all automata together in numpy. A text is cut into pieces of ``PIECE`` codes that are parsed on
-their own, which adds the same number of phrases for every language.
-
-The sample is bounded (``DOCS`` documents a language, ``SPAN`` characters of each), so the broadcast
-tables are: ``2 * DOCS * SPAN`` states a language at most. Scoring is one pass without a shuffle.
+For each language, a suffix automaton of labelled text recognises every substring of it. A text is parsed
+greedily into the longest matches; a phrase costs the logarithm of the automaton's text length (where it
+points to), and the language that needs the fewest phrases, normalised so, wins. Parsing works on the
+UTF-8 bytes of the folded text, so letters of any alphabet are told apart and a table has a column for each
+byte that its own language uses. The walk needs no suffix links once an automaton is built, so it is a
+dense table of next states with the restart after a miss folded in, and many texts walk in numpy together.
+
+Long texts are cut into pieces that walk side by side as if each began a phrase. Then each piece is walked
+again from the state in which the piece before ends, next to its first walk, until both are in one state;
+so the result is that of one parse of the whole text (see ``Model.phrases``).
+
+The learning sample is bounded by rows: ``DOCS`` whole texts a language, in the order of a hash of doc_id,
+as long as they have ``BYTES`` bytes together; a text over ``BYTES / 4`` is passed over, unless a language
+has no other. Scoring is one pass without a shuffle.
 """
 
 from __future__ import annotations
@@ -21,12 +26,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from quantloom.llm.common import crc_bucket, map_bytes
+from quantloom.llm.common import crc_bucket, held_out_second, map_bytes
 
-DOCS, SPAN = 120, 300
-PIECE = 256
-#: Letters with a code of their own; 0 is any other letter, 1 what stands between words.
-LETTERS = 62
+DOCS, BYTES = 60, 80_000
+#: Bytes of a piece, and of the texts that walk together.
+PIECE, TOGETHER = 512, 1 << 21
 _MISS = np.int32(1 << 30)
 
 
@@ -35,19 +39,20 @@ def _is_letter() -> np.ndarray:
     return np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
 
 
-def fold(text: str) -> np.ndarray:
-    """Code points of the lower-case text; 0 for runs of anything but letters."""
+def fold(text: str) -> bytes:
+    """The lower-case text as UTF-8, with a zero byte for each run of anything but letters."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    points = np.where(_is_letter()[points], points, 0)
-    return points[(points != 0) | (np.concatenate(([1], points[:-1])) != 0)]
+    points = np.where(_is_letter()[points], points, 0).astype("<u4")
+    points = points[(points != 0) | (np.concatenate(([1], points[:-1])) != 0)]
+    return points.tobytes().decode("utf-32-le").encode()
 
 
-def automaton(codes: list[int], width: int) -> np.ndarray:
-    """Suffix automaton as a table (state x code) -> next state; a miss restarts at the root and is
-    marked by ``_MISS``."""
+def automaton(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Suffix automaton: the column of each byte (0: not in the data) and a table (state x column) -> next
+    state; a miss restarts at the root and is marked by ``_MISS``."""
     links, lengths, moves = [-1], [0], [{}]
     last = 0
-    for c in codes:
+    for c in data:
         cur = len(links)
         links.append(0)
         lengths.append(lengths[last] + 1)
@@ -70,86 +75,135 @@ def automaton(codes: list[int], width: int) -> np.ndarray:
                     p = links[p]
                 links[q] = links[cur] = clone
         last = cur
-    table = np.full((len(links), width), -1, np.int32)
+    used = np.unique(np.frombuffer(data, np.uint8))
+    column = np.zeros(256, np.uint8 if len(used) < 256 else np.uint16)
+    column[used] = np.arange(1, len(used) + 1)
+    table = np.full((len(links), len(used) + 1), -1, np.int32)
     for state, out in enumerate(moves):
-        table[state, list(out)] = list(out.values())
+        if out:
+            table[state, column[list(out)]] = list(out.values())
     again = np.where(table[0] >= 0, table[0], 0)
-    return np.where(table >= 0, table, again[None, :] | _MISS)
+    return column, np.where(table >= 0, table, again[None, :] | _MISS)
 
 
 class Model:
-    """Automata of all languages in one table; plain arrays, so it can be broadcast."""
+    """The automata of all languages; plain arrays, so it can be broadcast."""
 
     def __init__(self, samples: dict[str, str]):
         self.langs = sorted(samples)
-        folded = {k: fold(samples[k]) for k in self.langs}
-        joined = np.concatenate([*folded.values(), np.zeros(0, np.uint32)])
-        letters, counts = np.unique(joined[joined != 0], return_counts=True)
-        self.letters = np.sort(letters[np.argsort(-counts, kind="stable")][:LETTERS])
-        self.width = len(self.letters) + 2
-        tables = [automaton([c for c in self.codes(folded[k]).tolist() if c], self.width) for k in self.langs]
-        self.base = np.cumsum([0, *[len(t) for t in tables]])[:-1].astype(np.int64) * self.width
-        self.table = np.concatenate([t.ravel() for t in tables]) if tables else np.zeros(0, np.int32)
-
-    def codes(self, points: np.ndarray) -> np.ndarray:
-        at = np.searchsorted(self.letters, points)
-        known = at < len(self.letters)
-        known &= self.letters[np.minimum(at, len(self.letters) - 1)] == points if len(self.letters) else False
-        return np.where(points == 0, 1, np.where(known, at + 2, 0)).astype(np.uint8)
-
-    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
-        """Codes of texts -> phrases (text x language)."""
-        pieces = [(k, at, min(PIECE, len(c) - at)) for k, c in enumerate(texts) for at in range(0, len(c), PIECE)]
+        folded = [fold(samples[k]) for k in self.langs]
+        self.automata = [automaton(x) for x in folded]
+        #: what a phrase costs: the number of places in the learned text that it can point to
+        self.cost = np.array([np.log2(len(x) + 2) for x in folded])
+
+    def phrases(self, texts: list[bytes]) -> np.ndarray:
+        """Folded texts -> phrases of the greedy parse of each whole text (text x language)."""
+        out = np.zeros((len(texts), len(self.langs)), np.int64)
+        part: list[int] = []
+        size = 0
+        for k, text in enumerate(texts):
+            part.append(k)
+            size += len(text)
+            if size >= TOGETHER or k == len(texts) - 1:
+                out[part] = self._walked([texts[k] for k in part])
+                part, size = [], 0
+        return out
+
+    def _walked(self, texts: list[bytes]) -> np.ndarray:
         out = np.zeros((len(texts), len(self.langs)), np.int64)
-        if not pieces or not self.langs:
+        pieces = [(k, at, min(PIECE, len(x) - at)) for k, x in enumerate(texts) for at in range(0, len(x), PIECE)]
+        if not pieces:
             return out
-        pieces.sort(key=lambda x: -x[2])
+        owner, begin, size = (np.array(c) for c in zip(*pieces, strict=True))
+        order = np.argsort(-size, kind="stable")
         grid = np.zeros((PIECE, len(pieces)), np.uint8)
-        for j, (k, at, n) in enumerate(pieces):
-            grid[:n, j] = texts[k][at : at + n]
-        active = np.searchsorted(-np.array([n for _, _, n in pieces]), -np.arange(PIECE), side="left")
-        state = np.zeros((len(self.langs), len(pieces)), np.int64)
-        count = np.ones((len(self.langs), len(pieces)), np.int64)
-        base = self.base[:, None]
+        for j, i in enumerate(order.tolist()):
+            grid[: size[i], j] = np.frombuffer(texts[owner[i]], np.uint8, size[i], begin[i])
+        place = np.empty(len(order), np.int64)  # of each piece in the grid
+        place[order] = np.arange(len(order))
+        active = np.searchsorted(-size[order], -np.arange(PIECE), side="left")
+        before = np.where(begin > 0, np.concatenate(([0], place[:-1])), -1)[order]  # the column of the piece before
+        for lang, (column, table) in enumerate(self.automata):
+            flat, width, codes = table.ravel(), table.shape[1], column[grid]
+            misses, end = self._first_walk(flat, width, codes, active)
+            entered = np.zeros(len(pieces), np.int64)
+            while True:
+                # pieces whose entry state isn't what they were walked from yet
+                now = np.where(before >= 0, end[before], 0)
+                again = np.flatnonzero(now != entered)
+                if not len(again):
+                    break
+                self._second_walk(flat, width, codes, size[order], again, entered, now, misses, end)
+                entered[again] = now[again]
+            out[:, lang] = np.bincount(owner[order], misses, minlength=len(texts)) + [len(x) > 0 for x in texts]
+        return out
+
+    @staticmethod
+    def _first_walk(flat, width, codes, active):
+        state, misses = np.zeros(codes.shape[1], np.int64), np.zeros(codes.shape[1], np.int64)
         for t in range(PIECE):
             n = active[t]
             if not n:
                 break
-            got = self.table[base + state[:, :n] * self.width + grid[t, :n]]
-            count[:, :n] += got >> 30
-            state[:, :n] = got & (_MISS - 1)
-        np.add.at(out, np.array([k for k, _, _ in pieces]), count.T)
-        return out
+            got = flat[state[:n] * width + codes[t, :n]]
+            misses[:n] += got >> 30
+            state[:n] = got & (_MISS - 1)
+        return misses, state
+
+    @staticmethod
+    def _second_walk(flat, width, codes, size, which, entered, now, misses, end):
+        """Walk pieces from what they were entered with before and from what they are entered with now, side
+        by side; once both are in one state, the rest of the walk is the same."""
+        old, new = entered[which], now[which]
+        t = 0
+        while len(which):
+            over = t >= size[which]
+            if over.any():  # parted up to the end
+                end[which[over]] = new[over]
+                which, old, new = which[~over], old[~over], new[~over]
+                continue
+            c = codes[t, which]
+            a, b = flat[old * width + c], flat[new * width + c]
+            misses[which] += (b >> 30) - (a >> 30)
+            old, new = (a & (_MISS - 1)).astype(np.int64), (b & (_MISS - 1)).astype(np.int64)
+            apart = old != new
+            which, old, new = which[apart], old[apart], new[apart]
+            t += 1
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Languages and scores; ``und`` for texts without a letter, or if no language was learned."""
-        points = [fold(t or "") for t in texts]
-        found = self.phrases([self.codes(p) for p in points])
+        folded = [fold(t or "") for t in texts]
+        found = self.phrases(folded) * self.cost
         langs, scores = [], []
-        for p, row in zip(points, found, strict=True):
-            if not self.langs or not p.any():
+        for x, row in zip(folded, found, strict=True):
+            if not self.langs or not x.strip(b"\0"):
                 langs.append("und")
                 scores.append(0.0)
                 continue
             best = int(row.argmin())
             langs.append(self.langs[best])
-            scores.append(float(1 / np.exp(-np.minimum(row - row[best], 50.0)).sum()))
+            scores.append(float(1 / np.exp2(-np.minimum((row - row[best]) / self.cost.mean(), 50.0)).sum()))
         return langs, scores
 
 
-def train(docs: DataFrame, docs_per_lang: int = DOCS, span: int = SPAN) -> Model:
+def train(docs: DataFrame, docs_per_lang: int = DOCS, n_bytes: int = BYTES) -> Model:
     """Learn from documents with text and lang whose crc32(doc_id) mod 5 is not 0."""
     usable = docs.where(F.col("text").isNotNull() & F.col("lang").isNotNull() & (crc_bucket("doc_id", 5) != 0))
-    by_hash = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = usable.select("lang", "doc_id").withColumn("place", F.row_number().over(by_hash))
-    ids = ids.where(F.col("place") <= docs_per_lang).select("doc_id", "lang").distinct()
-    room = F.greatest(F.length("text") - span, F.lit(0)) + 1
-    start = (F.pmod(F.xxhash64("doc_id"), room) + 1).cast("int")
-    rows = usable.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "doc_id", F.substr("text", start, F.lit(span)).alias("x"))
+    # ids, lengths and digests only are ranked; equal rows are one
+    thin = usable.select("lang", "doc_id", F.octet_length("text").alias("n"), F.xxhash64("text").alias("h")).distinct()
+    long = F.when(F.col("n") > n_bytes // 4, F.col("n")).otherwise(0)
+    by_hash = Window.partitionBy("lang").orderBy(long, F.xxhash64("doc_id"), "doc_id", "h")
+    thin = thin.withColumn("place", F.row_number().over(by_hash)).where(F.col("place") <= docs_per_lang)
+    thin = thin.withColumn("upto", F.sum("n").over(by_hash.rowsBetween(Window.unboundedPreceding, 0)))
+    ids = thin.where((F.col("place") == 1) | (F.col("upto") <= n_bytes)).select("lang", F.col("doc_id").alias("id"), "h").alias("i")
+    rows = usable.alias("u").join(
+        F.broadcast(ids), (F.col("u.lang") == F.col("i.lang")) & F.col("u.doc_id").eqNullSafe(F.col("i.id")) & (F.xxhash64("u.text") == F.col("i.h"))
+    )
+    rows = rows.groupBy("u.lang", "i.h").agg(F.min("u.text").alias("text"))
     samples: dict[str, list] = {}
-    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["doc_id"], r["x"])):
-        samples.setdefault(r["lang"], []).append(r["x"])
-    return Model({k: " ".join(v[:docs_per_lang]) for k, v in samples.items()})
+    for r in sorted(rows.collect(), key=lambda r: (r["lang"], r["h"])):
+        samples.setdefault(r["lang"], []).append(r["text"])
+    return Model({k: " ".join(v) for k, v in samples.items()})
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
@@ -170,4 +224,4 @@ def identify(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Da
 
 def classify(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Train on the learning part of docs, predict all; append held_out, lang_pred and score."""
-    return identify(docs, train(docs), keep=keep).withColumn("held_out", crc_bucket("doc_id", 5) == 0)
+    return held_out_second(identify(docs, train(docs), keep=keep), crc_bucket("doc_id", 5) == 0)

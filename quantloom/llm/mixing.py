@@ -75,14 +75,15 @@ def mix(
     """
     added = ["size", "source_size", "target", "taken"]
     kept = without(docs.select([F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]), added).columns
-    rest = [c for c in kept if c not in ("doc_id", "source")]
+    # names of our own for the other columns that are carried, so that none can clash
+    rest = {c: f"__c{i}" for i, c in enumerate(kept) if c not in ("doc_id", "source")}
     digest = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
     sized = docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count(F.col("text"), F.lit(WORD)), F.lit(0)).cast("bigint").alias("__size"),
         digest.alias("__order"),
-        *[F.col(f"`{c}`") for c in rest],
+        *[F.col(f"`{c}`").alias(to) for c, to in rest.items()],
     ).withColumn("__bucket", F.substring("__order", 1, BUCKET_DIGITS))
     sized = durable(sized)
 
@@ -103,7 +104,7 @@ def mix(
     end = F.col("ahead") + F.col("__run")
     timed = timed.select(
         *["doc_id", "source", "__size", "__order", "rank", "source_size", "budget", "target"],
-        *[F.col(f"`{c}`") for c in rest],
+        *rest.values(),
         *[
             F.when(F.col("target") > 0, (end + e * F.col("source_size")).cast("double") / F.col("target")).alias(f"__f{e}")
             for e in range(EPOCHS)
@@ -116,7 +117,7 @@ def mix(
         for e in range(EPOCHS)
     ) if cut else F.lit(0)
     final = {"size": F.col("__size"), "source_size": F.col("source_size"), "target": F.col("target"), "taken": taken.cast("bigint")}
-    return timed.select(*[F.col(f"`{c}`") for c in kept], *[v.alias(k) for k, v in final.items()])
+    return timed.select(*[F.col(rest.get(c, c)).alias(c) for c in kept], *[v.alias(k) for k, v in final.items()])
 
 
 def _key(epoch: int):

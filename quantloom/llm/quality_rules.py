@@ -2,8 +2,13 @@
 
 The sketch of a feature is a histogram over logarithmic bins (each bin's edges differ by 1 %, so a
 quantile is off by at most that); sketches merge by adding counts, which is what the aggregation does,
-map side first. Groups with fewer than ``MIN_GROUP`` documents use the sketch of their language merged
-over sources, then the one merged over everything. The thresholds are joined back to the documents.
+map side first. Sketched are the documents that pass the base rules.
+
+A group's own limit is its median, plus ``SPREAD`` times the distance to the upper (or lower) quartile;
+where both are one value, as for a feature that most texts lack, a fixed room takes the place of the
+spread. The limit in use is the mean of the own limit, weighted by the group's documents, and of its
+language's, weighted as ``PRIOR`` documents; the language's is drawn to the overall one alike. So a small
+group leans on its language by degrees, at no particular size. The limits are joined to the documents.
 """
 
 from __future__ import annotations
@@ -22,18 +27,19 @@ SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\x0b\x0c\r"
 N = 8
 MIN_WORDS = 20
-MIN_GROUP = 100
+#: Documents that the limit of the next larger group weighs as.
+PRIOR = 100
 #: Ratio of a bin's edges.
 GAMMA = 1.01
-#: Features (name, expression) and the room above the upper quantile that no rule falls below.
+#: Rules: name, expression, side of the limit (1: above it is broken), room where there is no spread.
 RULES = {
-    "symbols_per_word": ("n_symbols / n_words", 0.10),
-    "repeat_share": ("n_repeat_words / n_words", 0.10),
-    "dup_lines_per_word": ("n_dup_lines / n_words", 0.05),
-    "chars_per_word": ("word_chars / n_words", 3.0),
+    "symbols_per_word": ("n_symbols / n_words", 1, 0.10),
+    "repeat_share": ("n_repeat_words / n_words", 1, 0.20),
+    "dup_lines_per_word": ("n_dup_lines / n_words", 1, 0.05),
+    "chars_per_word": ("word_chars / n_words", 1, 3.0),
+    "chars_per_word_low": ("word_chars / n_words", -1, 3.0),
 }
-#: A threshold is the median, plus this many times the distance from there to the upper quantile.
-UPPER, SPREAD = 0.75, 4.0
+SPREAD = 8.0
 
 _FIELDS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
@@ -103,74 +109,89 @@ def _value(at):
     return F.when(at == 0, F.lit(0.0)).otherwise(F.pow(F.lit(GAMMA), (at - (1 << 20)).cast("double")))
 
 
+BASE_FAILED = f"n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words"
+
+
 def thresholds(marked: DataFrame) -> DataFrame:
-    """(lang, source) -> n and one upper threshold per rule, from merged sketches."""
-    stacked = marked.where("n_words > 0").select(
+    """(lang, source) -> group_size, limits (rule -> limit) and own (rule -> whether the group's limit comes
+    from its spread), from merged sketches. A group without a sketched document has its language's or the
+    overall limits."""
+    stacked = marked.select(
         "lang",
         "source",
-        F.explode(
-            F.array(*[F.struct(F.lit(k).alias("rule"), _bin(F.expr(e)).alias("bin")) for k, (e, _) in RULES.items()])
-        ).alias("x"),
+        (~F.expr(BASE_FAILED)).alias("sketched"),
+        F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), _bin(_ratio(e)).alias("bin")) for k, (e, _, _) in RULES.items()])).alias("x"),
     )
-    sketch = durable(stacked.groupBy("lang", "source", "x.rule", "x.bin").agg(F.count("*").alias("n")))
-    own = _quantiles(sketch, ["lang", "source"])
-    by_lang = _quantiles(sketch, ["lang"])
-    overall = _quantiles(sketch, [])
-    groups = sketch.select("lang", "source").distinct()
-    own = own.select(F.col("lang").alias("l1"), F.col("source").alias("s1"), F.col("n").alias("n1"), F.col("limits").alias("t1"))
-    by_lang = by_lang.select(F.col("lang").alias("l2"), F.col("n").alias("n2"), F.col("limits").alias("t2"))
-    overall = overall.select(F.col("limits").alias("t3"))
+    sketch = durable(stacked.groupBy("lang", "source", "x.rule", "x.bin").agg(F.sum(F.col("sketched").cast("bigint")).alias("n")))
+    own = _quantiles(sketch, ["lang", "source"]).select(F.col("lang").alias("l1"), F.col("source").alias("s1"), F.col("rule").alias("r1"), F.col("n").alias("n1"), F.col("limit").alias("t1"), "spread")
+    by_lang = _quantiles(sketch, ["lang"]).select(F.col("lang").alias("l2"), F.col("rule").alias("r2"), F.col("n").alias("n2"), F.col("limit").alias("t2"))
+    overall = _quantiles(sketch, []).select(F.col("rule").alias("r3"), F.col("limit").alias("t3"))
+    groups = sketch.select("lang", "source", "rule").distinct()
     joined = (
-        groups.join(own, groups["lang"].eqNullSafe(F.col("l1")) & groups["source"].eqNullSafe(F.col("s1")))
-        .join(by_lang, groups["lang"].eqNullSafe(F.col("l2")))
-        .join(F.broadcast(overall), F.lit(True))  # one row
+        groups.join(F.broadcast(overall), F.col("rule") == F.col("r3"), "left")  # a row for each rule
+        .join(by_lang, F.col("lang").eqNullSafe(F.col("l2")) & (F.col("rule") == F.col("r2")), "left")
+        .join(own, F.col("lang").eqNullSafe(F.col("l1")) & F.col("source").eqNullSafe(F.col("s1")) & (F.col("rule") == F.col("r1")), "left")
+    )
+    towards = lambda n, t, prior: F.when(t.isNull(), prior).otherwise((n * t + PRIOR * prior) / (n + PRIOR))
+    lang_limit = towards(F.col("n2").cast("double"), F.col("t2"), F.col("t3"))
+    limit = towards(F.col("n1").cast("double"), F.col("t1"), lang_limit)
+    return joined.groupBy("lang", "source").agg(
+        F.max("n1").alias("group_size"),
+        F.map_from_entries(F.collect_list(F.struct("rule", limit.alias("limit")))).alias("limits"),
+        F.map_from_entries(F.collect_list(F.struct("rule", F.coalesce("spread", F.lit(False)).alias("spread")))).alias("own"),
     )
-    limits = F.when(F.col("n1") >= MIN_GROUP, F.col("t1")).when(F.col("n2") >= MIN_GROUP, F.col("t2")).otherwise(F.col("t3"))
-    return joined.select("lang", "source", F.col("n1").alias("group_size"), limits.alias("limits"))
 
 
 def _quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Merge sketches over all but keys; a map rule -> threshold for each group."""
-    merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
+    """Merge sketches over all but keys; (keys, rule) -> n, limit and whether it comes from a spread."""
+    merged = sketch.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n")).where("n > 0")
     run = Window.partitionBy(*keys, "rule").orderBy("bin")
     merged = merged.withColumn("upto", F.sum("n").over(run)).withColumn("all", F.sum("n").over(Window.partitionBy(*keys, "rule")))
-    at = lambda q: F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin")))
-    found = merged.groupBy(*keys, "rule").agg(at(0.5).alias("mid"), at(UPPER).alias("up"), F.max("all").alias("n"))
-    mid, up = _value(F.col("mid")), _value(F.col("up"))
-    room = F.create_map(*[x for k, (_, r) in RULES.items() for x in (F.lit(k), F.lit(r))])
-    limit = mid + F.greatest(SPREAD * (up - mid), F.element_at(room, F.col("rule")))
-    found = found.withColumn("limit", limit)
-    out = found.groupBy(*keys) if keys else found.groupBy()
-    return out.agg(F.max("n").alias("n"), F.map_from_entries(F.collect_list(F.struct("rule", "limit"))).alias("limits"))
+    at = lambda q: _value(F.min(F.when(F.col("upto") >= F.col("all") * q, F.col("bin"))))
+    found = merged.groupBy(*keys, "rule").agg(at(0.25).alias("low"), at(0.5).alias("mid"), at(0.75).alias("up"), F.max("all").alias("n"))
+    side = F.element_at(F.create_map(*[F.lit(x) for k, (_, d, _) in RULES.items() for x in (k, d)]), F.col("rule"))
+    room = F.element_at(F.create_map(*[F.lit(x) for k, (_, _, r) in RULES.items() for x in (k, r)]), F.col("rule"))
+    spread = F.when(side > 0, F.col("up") - F.col("mid")).otherwise(F.col("mid") - F.col("low"))
+    limit = F.col("mid") + side * F.when(spread > 0, SPREAD * spread).otherwise(room)
+    return found.select(*keys, "rule", "n", limit.alias("limit"), (spread > 0).alias("spread"))
+
+
+def _ratio(text: str):
+    return F.expr(f"try_divide({text.replace(' / ', ', ')})")
+
+
+def _broken(value, limit, side: int):
+    return value > limit if side > 0 else value < limit
 
 
 def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Append the base counts, base_failed, kept and broken (the adaptive rules a document breaks).
 
     base_failed: under 20 words, or over 30 % of the words repeated in 8-word windows. kept is false
-    for those, else whether no adaptive threshold of the document's language and source (null is a
-    group of its own) is exceeded. Null texts have no words. Rows may repeat; an empty table gives an
-    empty result. Input columns named like an added one are dropped.
+    for those, else whether no adaptive limit of the document's language and source (null is a group of
+    its own) is passed. Null texts have no words. Rows may repeat; an empty table gives an empty result.
+    Input columns named like an added one are dropped, all others are kept, whatever their names.
     """
     added = [*_FIELDS, "base_failed", "kept", "broken"]
     kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in added]
-    marked = durable(measured(docs, keep=list(dict.fromkeys([*kept, "lang", "source"]))))
+    # names of our own for the columns that are carried, so that none can clash
+    carried = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], "lang", "source", "text")
+    marked = durable(measured(carried, keep=[*(f"__c{i}" for i in range(len(kept))), "lang", "source"]))
     limits = thresholds(marked).select(F.col("lang").alias("__lang"), F.col("source").alias("__source"), "limits")
     joined = marked.join(
         limits, F.col("lang").eqNullSafe(F.col("__lang")) & F.col("source").eqNullSafe(F.col("__source")), "left"
     )
-    base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     broken = F.array_compact(
         F.array(
             *[
-                F.when((F.col("n_words") > 0) & (F.expr(f"try_divide({e.replace(' / ', ', ')})") > F.element_at("limits", F.lit(k))), F.lit(k))
-                for k, (e, _) in RULES.items()
+                F.when((F.col("n_words") > 0) & _broken(_ratio(e), F.element_at("limits", F.lit(k)), side), F.lit(k))
+                for k, (e, side, _) in RULES.items()
             ]
         )
     )
-    out = joined.withColumn("base_failed", base).withColumn("broken", broken)
+    out = joined.withColumn("base_failed", F.expr(BASE_FAILED)).withColumn("broken", broken)
     return out.select(
-        *[F.col(f"`{c}`") for c in kept],
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)],
         *_FIELDS,
         "base_failed",
         (~F.col("base_failed") & (F.size("broken") == 0)).alias("kept"),
@@ -180,23 +201,25 @@ def quality_rules(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
 
 def _oracle() -> str:
     """The registered query's rows in DuckDB."""
-    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, CAST({e.replace(' / ', ' AS DOUBLE) / ')} AS v FROM c WHERE n_words > 0" for k, (e, _) in RULES.items())
-    room = " ".join(f"WHEN '{k}' THEN {r}::DOUBLE" for k, (_, r) in RULES.items())
+    ratio = lambda e: f"CAST({e.replace(' / ', ' AS DOUBLE) / nullif(')}, 0)"
+    unpivot = " UNION ALL ".join(f"SELECT lang, source, '{k}' AS rule, {side} AS side, {room}::DOUBLE AS room, {ratio(e)} AS v FROM c WHERE NOT ({BASE_FAILED})" for k, (e, side, room) in RULES.items())
 
     def limits(name: str, keys: str) -> str:
         part = f"PARTITION BY {keys}rule"
+        at = lambda q: f"min(CASE WHEN upto >= every * {q}::DOUBLE THEN bin END)"
         value = lambda b: f"CASE WHEN {b} = 0 THEN 0::DOUBLE ELSE pow({GAMMA}::DOUBLE, {b} - {1 << 20}) END"
         return f"""
-{name}0 AS (SELECT {keys}rule, bin, sum(n) AS n FROM k GROUP BY {keys}rule, bin),
+{name}0 AS (SELECT {keys}rule, side, room, bin, sum(n) AS n FROM k GROUP BY ALL),
 {name}1 AS (SELECT *, sum(n) OVER ({part} ORDER BY bin) AS upto, sum(n) OVER ({part}) AS every FROM {name}0),
-{name}2 AS (SELECT {keys}rule, min(CASE WHEN upto >= every * 0.5::DOUBLE THEN bin END) AS mid, min(CASE WHEN upto >= every * {UPPER}::DOUBLE THEN bin END) AS up, max(every) AS n FROM {name}1 GROUP BY {keys}rule),
-{name} AS (SELECT {keys}rule, n, {value('mid')} + greatest({SPREAD}::DOUBLE * ({value('up')} - {value('mid')}), CASE rule {room} END) AS lim FROM {name}2)"""
-
-    over = {
-        k: f"coalesce(n_words > 0 AND CAST({e.replace(' / ', ' AS DOUBLE) / nullif(')}, 0) > (SELECT lim FROM g WHERE g.rule = '{k}' AND g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source), false)"
-        for k, (e, _) in RULES.items()
-    }
-    broken = ", ".join(f"CASE WHEN {x} THEN '{k}' END" for k, x in over.items())
+{name}2 AS (SELECT {keys}rule, side, room, {at(0.25)} AS b1, {at(0.5)} AS b2, {at(0.75)} AS b3, max(every) AS n FROM {name}1 GROUP BY ALL),
+{name}3 AS (SELECT *, {value('b2')} AS mid, CASE WHEN side > 0 THEN {value('b3')} - {value('b2')} ELSE {value('b2')} - {value('b1')} END AS spread FROM {name}2),
+{name} AS (SELECT {keys}rule, CAST(n AS DOUBLE) AS n, mid + side * CASE WHEN spread > 0 THEN {SPREAD}::DOUBLE * spread ELSE room END AS lim FROM {name}3)"""
+
+    near = lambda a, b: f"CASE WHEN {a}.lim IS NULL THEN {b} ELSE ({a}.n * {a}.lim + {PRIOR} * ({b})) / ({a}.n + {PRIOR}) END"
+    broken = ", ".join(
+        f"CASE WHEN n_words > 0 AND {ratio(e)} {'>' if side > 0 else '<'} (SELECT lim FROM g WHERE g.rule = '{k}' AND g.lang IS NOT DISTINCT FROM c.lang AND g.source IS NOT DISTINCT FROM c.source) THEN '{k}' END"
+        for k, (e, side, _) in RULES.items()
+    )
     space = r"\x20\x09-\x0D"
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS id, doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^{space}]+') AS ws,
@@ -207,11 +230,12 @@ c AS (SELECT d.doc_id, d.lang, d.source, CAST(len(ws) AS BIGINT) AS n_words, CAS
              CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN r USING (id)),
 f AS ({unpivot}),
-k AS (SELECT lang, source, rule, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(GAMMA)!r}::DOUBLE) AS BIGINT) + {1 << 20} ELSE 0 END AS bin, count(*) AS n FROM f GROUP BY ALL),
+k AS (SELECT lang, source, rule, side, room, CASE WHEN v > 0 THEN CAST(ceil(ln(v) / {math.log(GAMMA)!r}::DOUBLE) AS BIGINT) + {1 << 20} ELSE 0 END AS bin, count(*) AS n FROM f GROUP BY ALL),
 {limits('t1', 'lang, source, ')}, {limits('t2', 'lang, ')}, {limits('t3', '')},
-g AS (SELECT t1.lang, t1.source, t1.rule, CASE WHEN t1.n >= {MIN_GROUP} THEN t1.lim WHEN t2.n >= {MIN_GROUP} THEN t2.lim ELSE t3.lim END AS lim
-      FROM t1 JOIN t2 ON t1.rule = t2.rule AND t1.lang IS NOT DISTINCT FROM t2.lang JOIN t3 ON t1.rule = t3.rule),
-o AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > 30 * n_words AS base_failed, concat_ws(',', {broken}) AS broken FROM c)
+g AS (SELECT q.lang, q.source, t3.rule, {near('t1', near('t2', 't3.lim'))} AS lim
+      FROM (SELECT DISTINCT lang, source FROM c) AS q CROSS JOIN t3 LEFT JOIN t2 ON t2.rule = t3.rule AND t2.lang IS NOT DISTINCT FROM q.lang
+      LEFT JOIN t1 ON t1.rule = t3.rule AND t1.lang IS NOT DISTINCT FROM q.lang AND t1.source IS NOT DISTINCT FROM q.source),
+o AS (SELECT *, {BASE_FAILED} AS base_failed, concat_ws(',', {broken}) AS broken FROM c)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND broken = '' AS kept, broken FROM o"""
 
 

@@ -36,10 +36,8 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
     """64-bit SimHash of the word shingles of a text; 0 if it has no word."""
     words = (text or b"").lower().split()
     n = len(words)
-    if not n:
-        return 0
     if n < shingle:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed=SEED)
+        return xxhash.xxh64_intdigest(b" ".join(words), seed=SEED) if n else 0
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n)) + np.arange(n)
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -50,14 +48,19 @@ def fingerprint(text: bytes | None, shingle: int = SHINGLE) -> int:
         np.uint64,
         count,
     )
+    return fingerprint_of(hashes)
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
     ones = np.zeros(64, np.int64)
-    for at in range(0, count, 4096):  # bounds the unpacked bits of a long text
+    for at in range(0, len(hashes), 4096):  # bounds the unpacked bits of a long text
         ones += np.unpackbits(hashes[at : at + 4096].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    bits = np.packbits(2 * ones > count, bitorder="little")
+    bits = np.packbits(2 * ones > len(hashes), bitorder="little")
     return int(bits.view("<u8")[0])
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
@@ -65,13 +68,13 @@ def fingerprints(docs: DataFrame, keep: list[str] | None = None, shingle: int =
     """Append fp (64-bit fingerprint as a signed long)."""
 
     def rows():
-        return lambda texts: [[_signed(fingerprint(t, shingle)) for t in texts]]
+        return lambda texts: [[signed(fingerprint(t, shingle)) for t in texts]]
 
     return map_bytes(docs, [T.StructField("fp", T.LongType())], rows, keep=keep)
 
 
 def _bit(i: int) -> int:
-    return _signed(1 << i)
+    return signed(1 << i)
 
 
 def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
@@ -81,7 +84,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         F.posexplode(
             F.array(
                 *[
-                    F.col("fp").bitwiseAND(F.lit(_signed((((1 << WIDTH) - 1) << (s * WIDTH)) & ~(1 << (s * WIDTH + i)))))
+                    F.col("fp").bitwiseAND(F.lit(signed((((1 << WIDTH) - 1) << (s * WIDTH)) & ~(1 << (s * WIDTH + i)))))
                     for s in range(SEGMENTS)
                     for i in range(WIDTH)
                 ]
@@ -99,7 +102,7 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
         .select(F.col("fp").alias("u"), F.col("other").alias("v"))
     )
     hot = met.where(F.col("n") > bucket).select("fp").distinct()
-    masks = [_signed(~((1 << i) | (1 << j)) & ((1 << 64) - 1)) for i, j in combinations(range(64), 2)]
+    masks = [signed(~((1 << i) | (1 << j)) & ((1 << 64) - 1)) for i, j in combinations(range(64), 2)]
     taken_out = hot.select(
         "fp", F.posexplode(F.transform(F.array(*[F.lit(m) for m in masks]), lambda m: F.col("fp").bitwiseAND(m))).alias("slot", "part")
     )
@@ -116,13 +119,12 @@ def near_duplicates(
 
     Texts that are null or have no word have fingerprint zero and are linked like any other; rows may
     repeat; a component whose doc_ids are all null has a null id; an empty table gives an empty
-    result. Input columns named like an added one are dropped.
+    result. Input columns named like an added one are dropped; all others are kept, whatever their names.
     """
-    from quantloom.llm.common import without
-
     kept = docs.columns if keep is None else keep
     kept = [c for c in kept if c.lower() not in ("fingerprint", "component_id")]
-    marked = durable(fingerprints(docs, keep=list(dict.fromkeys(["doc_id", *kept])), shingle=shingle))
+    given = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], "doc_id", "text")
+    marked = durable(fingerprints(given, keep=[*(f"__c{i}" for i in range(len(kept))), "doc_id"], shingle=shingle))
     classes = durable(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(classes.select("fp"), bucket))
     rooted = classes.join(roots, classes["fp"] == roots["node"], "left").select(
@@ -132,7 +134,7 @@ def near_duplicates(
     named = rooted.join(ids, "root").select(F.col("fp").alias("__fp"), "component_id")
     out = marked.join(named, F.col("fp") == F.col("__fp"))
     return out.select(
-        *[F.col(f"`{c}`") for c in kept if c.lower() != "fp"],
+        *[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)],
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
     )

@@ -1,38 +1,44 @@
-"""Near-duplicates by the Jaccard similarity of word shingles: MinHash bands find pairs, exact sets decide.
+"""Near-duplicates by the Jaccard similarity of word shingles, for what SimHash links and for what it can't reach.
 
 Texts at 5-word similarity 0.8 differ in about 10 of 64 SimHash bits, which no equality index of SimHash
-reaches; so ``BANDS`` keys of ``ROWS`` minima of the shingles' hashes propose pairs instead. A pair at
-similarity s shares no key with a chance of (1 - s**ROWS)**BANDS: 3e-6 at 0.8. Each proposed pair is then
-compared by its whole shingle sets (64-bit hashes).
-
-Hot keys: in each round all documents of a key are compared with its first ones (1, then 8, then 64, ...),
-which then leave the key; documents that are already in one component aren't compared, and a key whose
-documents are all in one component is done. A large group of near copies so costs a pair a document, and
-no pair of two components is left out.
+reaches. So pairs come from two indexes, and exact shingle sets decide on all of them:
+
+1. the deletion variants of the texts' SimHash fingerprints (``simhash.links``), which find close copies;
+2. a signature of ``SIZE`` bytes, the low bytes of minima of the shingles under as many hash functions, of
+   which ``KEYS`` fixed choices of ``ROWS`` bytes are keys. At similarity 0.8 two texts share no key with a
+   chance of 4e-4 (simulated; 6e-5 at 0.82). A pair is compared if ``AGREE`` bytes agree, which a pair
+   at 0.8 misses with a chance of 4e-5.
+
+Hot keys: texts of equal words are one node. Each node is first compared with the least one of its keys, so
+that a group of close copies costs a pair a node; then only nodes of a key in different components are
+compared, by their signatures, and those that agree by their sets. No bucket is capped.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quantloom.llm.common import durable, map_bytes
 from quantloom.llm.graph import components
+from quantloom.llm.simhash import fingerprint_of, links as simhash_links, signed
 
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 32, 5
+SIZE, KEYS, ROWS, AGREE = 160, 48, 7, 108
 _RNG = np.random.default_rng(SEED)
-_TIMES = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, False) | np.uint64(1)
-_PLUS = _RNG.integers(0, 1 << 64, BANDS * ROWS, np.uint64, False)
+_TIMES = _RNG.integers(0, 1 << 64, SIZE, np.uint64, False) | np.uint64(1)
+_PLUS = _RNG.integers(0, 1 << 64, SIZE, np.uint64, False)
+_CHOSEN = np.stack([np.sort(_RNG.permutation(SIZE)[:ROWS]) for _ in range(KEYS)])
 
 
-def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted different hashes of the word shingles of a text; one of all its words if they are fewer."""
+def word_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Hashes of the word shingles of a text in order, repeats included; one of all its words if they are fewer."""
     words = (text or b"").lower().split()
     if not words:
         return np.empty(0, np.uint64)
@@ -41,84 +47,163 @@ def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
     count = max(1, len(words) - shingle + 1)
     starts = np.concatenate(([0], ends[: count - 1] + 1)).tolist()
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[-count:].tolist(), strict=True)), np.uint64, count))
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[-count:].tolist(), strict=True)), np.uint64, count)
+
+
+def shingles(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted different hashes of the word shingles of a text."""
+    return np.unique(word_hashes(text, shingle))
 
 
-def bands(hashes: np.ndarray) -> np.ndarray:
-    """One signed 64-bit key for each band; none for a text without words."""
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """A byte of the least value of the shingles under each hash function, eight to a long; empty without shingles."""
     if not len(hashes):
         return np.empty(0, np.int64)
-    low = np.full(BANDS * ROWS, (1 << 64) - 1, np.uint64)
+    low = np.full(SIZE, (1 << 64) - 1, np.uint64)
     for at in range(0, len(hashes), 512):  # bounds the table of a long text
         low = np.minimum(low, (np.multiply.outer(_TIMES, hashes[at : at + 512]) + _PLUS[:, None]).min(1))
-    keys = [xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in low.reshape(BANDS, ROWS)]
-    return np.array(keys, np.uint64).view(np.int64)
+    return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).view(np.int64)
+
+
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """(node, sig) -> a row (key, node) for each of the node's keys."""
+
+    def run(batches):
+        slots = np.arange(KEYS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        for batch in batches:
+            node = batch.column(0).to_numpy()
+            sig = batch.column(1).flatten().to_numpy().view(np.uint8).reshape(-1, SIZE)
+            for at in range(0, len(node), 4096):
+                picked = sig[at : at + 4096][:, _CHOSEN].astype(np.uint64)
+                key = np.zeros(picked.shape[:2], np.uint64)
+                for j in range(ROWS):
+                    key = key << np.uint64(8) | picked[:, :, j]
+                key = (key + slots) * np.uint64(0x9E3779B97F4A7C15)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node[at : at + 4096], KEYS))], names=["key", "node"]
+                )
+
+    return nodes.select("node", "sig").where("size(sig) > 0").mapInArrow(run, "key bigint, node bigint")
+
+
+def _agreeing(a: str, b: str):
+    """Whether two signatures agree in AGREE bytes or more; a and b are arrays of 8-byte parts."""
+
+    def differing(x, y):
+        x = x.bitwiseXOR(y)
+        for bits, mask in ((4, 0x0F0F0F0F0F0F0F0F), (2, 0x0303030303030303), (1, 0x0101010101010101)):
+            x = x.bitwiseOR(F.shiftrightunsigned(x, bits).bitwiseAND(F.lit(mask)))
+        return F.bit_count(x.bitwiseAND(F.lit(0x0101010101010101)))
+
+    return F.aggregate(F.zip_with(a, b, differing), F.lit(0), lambda n, x: n + x) <= SIZE - AGREE
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (u, v) whose shingle sets are similar enough; v may be hot, so it is joined while rows are thin."""
+    """The pairs (u, v) whose shingle sets are similar enough."""
     one = sets.select(F.col("node").alias("v"), F.col("s").alias("t"))
     both = pairs.join(one, "v").join(sets.withColumnRenamed("node", "u"), "u")
     shared = F.size(F.array_intersect("s", "t"))
-    return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("u", "v").distinct()
-
-
-def links(members: DataFrame, sets: DataFrame, similarity: float = SIMILARITY) -> DataFrame | None:
-    """members(slot, part, node) and sets(node, s) -> links (u, v) that connect all similar nodes that share a
-    part; None if no part has two nodes."""
-    found, take = None, 1
-    key = ["slot", "part"]
-    while True:
-        if found is None:
-            rooted = members.withColumn("root", F.col("node"))
-        else:
-            roots = components(found).withColumnRenamed("root", "to")
-            rooted = members.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("to", "node")).drop("to")
-        several = rooted.groupBy(key).agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top")
-        ranked = rooted.join(several, key, "left_semi")
-        ranked = durable(ranked.withColumn("at", F.row_number().over(Window.partitionBy(*key).orderBy("node"))))
-        if ranked.isEmpty():
-            return found
-        first = ranked.where(F.col("at") <= take).select(*key, F.col("node").alias("v"), F.col("root").alias("to"), F.col("at").alias("before"))
-        pairs = ranked.join(first, key).where((F.col("at") > F.col("before")) & (F.col("root") != F.col("to")))
-        new = _verified(pairs.select(F.col("node").alias("u"), "v").distinct(), sets, similarity)
-        found = durable(new if found is None else found.unionByName(new))
-        members = ranked.where(F.col("at") > take).drop("at")
-        take *= 8
-
-
-def similar_documents(docs: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id -> component_id (smallest doc_id that is linked, itself included), over rows with a doc_id.
-
-    Linked are texts of the same words (case aside; null and empty texts have none) and texts whose sets
-    of word shingles have at least this Jaccard similarity. Rows may repeat; the texts of one doc_id are
-    linked. An empty table gives an empty result.
+    return both.where(shared >= similarity * (F.size("s") + F.size("t") - shared)).select("u", "v")
+
+
+def _rooted(nodes: DataFrame, found: DataFrame) -> DataFrame:
+    """Nodes with the root of their component."""
+    roots = components(found).withColumnRenamed("node", "__n")
+    return nodes.join(roots, F.col("node") == F.col("__n"), "left").withColumn("root", F.coalesce("root", "node")).drop("__n")
+
+
+def similar_documents(
+    docs: DataFrame, keep: list[str] | None = None, shingle: int = SHINGLE, similarity: float = SIMILARITY, one_of_each: bool = False
+) -> DataFrame:
+    """Append component_id (the smallest doc_id that is linked, itself included; null if none has an id) and
+    is_first: whether the row's document stands for its component. That is the one of the smallest doc_id (a
+    null one comes last), then of the smallest hash of its text. With ``one_of_each``, only one row of each
+    component is returned.
+
+    Linked are texts of the same words (case aside; null and empty texts have none) and texts whose sets of
+    word shingles have at least this Jaccard similarity. Rows of one doc_id and text are one document; two
+    texts under one doc_id are two. An empty table gives an empty result. Input columns named like an added
+    one are dropped; all others are kept, whatever their names.
     """
+    kept = [c for c in (docs.columns if keep is None else keep) if c.lower() not in ("component_id", "is_first")]
+    given = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], "doc_id", "text", F.xxhash64("text").alias("h"))
 
-    def banded():
+    def marks():
         def step(texts):
-            keys = [xxhash.xxh3_128_hexdigest(b" ".join((t or b"").lower().split()), SEED) for t in texts]
-            return [keys, [bands(shingles(t, shingle)) for t in texts]]
+            out = [[], [], []]
+            for t in texts:
+                hashes = word_hashes(t, shingle)
+                words = xxhash.xxh3_128_digest(b" ".join((t or b"").lower().split()), SEED)
+                for column, value in zip(out, (words, signed(fingerprint_of(hashes)), signature(np.unique(hashes))), strict=True):
+                    column.append(value)
+            return out
 
         return step
 
+    fields = [T.StructField("words", T.BinaryType()), T.StructField("fp", T.LongType()), T.StructField("sig", T.ArrayType(T.LongType()))]
+    marked = durable(map_bytes(given, fields, marks, keep=["doc_id", "h"]))
+    # texts of equal words meet in one row per task before the shuffle
+    place = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "h")
+    nodes = marked.groupBy("words").agg(F.min(place).alias("place"), F.first("fp").alias("fp"), F.first("sig").alias("sig"))
+    nodes = durable(nodes.withColumn("node", F.monotonically_increasing_id()))
+    found = _found(nodes, given, shingle, similarity)
+
+    rooted = _rooted(nodes.select("node", "words", "place"), found)
+    heads = rooted.groupBy("root").agg(F.min("place").alias("head"))
+    named = rooted.join(heads, "root").select("words", "head")
+    # rows of one document are counted where they are, so that only documents in several rows are dealt again
+    documents = marked.groupBy("doc_id", "h", "words").agg(F.count("*").alias("rows")).join(named, "words")
+    first = F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("h") == F.col("head.h"))
+    documents = documents.select(F.col("doc_id").alias("d2"), F.col("h").alias("h2"), "rows", F.col("head.doc_id").alias("component_id"), first.alias("is_first"))
+    if one_of_each:
+        documents = documents.where("is_first")
+    out = given.join(documents, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+    columns = [f"__c{i}" for i in range(len(kept))]
+    if one_of_each:
+        several = out.where("rows > 1").groupBy("doc_id", "h").agg(*[F.first(c).alias(c) for c in (*columns, "component_id", "is_first")])
+        out = out.where("rows = 1").select(*columns, "component_id", "is_first").unionByName(several.drop("doc_id", "h"))
+    return out.select(*[F.col(f"__c{i}").alias(c) for i, c in enumerate(kept)], "component_id", "is_first")
+
+
+def _found(nodes: DataFrame, given: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Links (u, v) between nodes that connect all similar ones that the two indexes propose."""
+    # the signature's keys; one that a single node has proposes nothing
+    first = _keyed(nodes)
+    led = first.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
+    members = durable(first.join(led.select("key", "leader"), "key"))
+
+    # close copies: fingerprints at 2 or fewer differing bits, one node for each; and nodes of one fingerprint
+    by_fp = nodes.where("size(sig) > 0").groupBy("fp").agg(F.min("node").alias("least"))
+    u, v = by_fp.select(F.col("fp").alias("u"), F.col("least").alias("__u")), by_fp.select(F.col("fp").alias("v"), F.col("least").alias("__v"))
+    close = simhash_links(by_fp.select("fp")).join(u, "u").join(v, "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
+    same = nodes.where("size(sig) > 0").join(by_fp, "fp").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+    start = members.where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
+    start = start.unionByName(close).unionByName(same)
+    start = durable(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+
+    wanted = start.select(F.col("u").alias("node")).unionByName(start.select(F.col("v").alias("node"))).distinct()
+    wanted = durable(nodes.join(wanted, "node", "left_semi").select("node", "place", "sig"))
+    one = wanted.select(F.col("node").alias("v"), F.col("sig").alias("q"))
+    start = start.join(one, "v").join(wanted.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u")
+    start = durable(start.where(_agreeing("p", "q")).select("u", "v"))
+
+    texts = wanted.select("node", F.col("place.doc_id").alias("d2"), F.col("place.h").alias("h2"))
+    texts = given.select("doc_id", "h", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
+
     def listed():
-        return lambda texts: [[shingles(t, shingle).view(np.int64) for t in texts]]
-
-    named = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    fields = [T.StructField("words", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-    marked = durable(map_bytes(named, fields, banded, keep=["doc_id"]))
-    least = marked.groupBy("words").agg(F.min("doc_id").alias("node"))
-    classes = durable(marked.select("doc_id", "words").distinct().join(least, "words").select("doc_id", "node").distinct())
-    # a doc_id with several texts has the keys of each of them
-    banded_once = marked.join(least.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi").distinct()
-    first = banded_once.select(F.col("doc_id").alias("node"), F.posexplode("bands").alias("slot", "part"))
-    sized = first.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1")
-    members = durable(first.join(sized, ["slot", "part"]).select("slot", "part", "node"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = map_bytes(named.join(wanted, "doc_id", "left_semi"), [T.StructField("s", T.ArrayType(T.LongType()))], listed, keep=["doc_id"])
-    found = links(members, durable(sets.withColumnRenamed("doc_id", "node")), similarity)
-    same = classes.select(F.col("doc_id").alias("u"), F.col("node").alias("v")).where("u != v").distinct()
-    roots = components(same if found is None else same.unionByName(found))
-    out = marked.select("doc_id").distinct().join(roots, F.col("doc_id") == F.col("node"), "left")
-    return out.select("doc_id", F.coalesce("root", "doc_id").alias("component_id"))
+        return lambda some: [[shingles(t, shingle).view(np.int64) for t in some]]
+
+    # a document in several rows gives its set once
+    sets = map_bytes(texts, [T.StructField("s", T.ArrayType(T.LongType()))], listed, keep=["node"])
+    sets = durable(sets.groupBy("node").agg(F.first("s").alias("s")))
+    found = durable(_verified(start, sets, similarity))
+
+    # nodes of one key in different components: compared by their signatures, then by their sets
+    left = _rooted(members, found)
+    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
+    left = durable(left.join(several, "key", "left_semi").select("key", "node", "leader", "root").join(wanted.select("node", "sig"), "node"))
+    other = left.select("key", F.col("node").alias("v"), F.col("root").alias("to"), F.col("sig").alias("q"))
+    new = (F.col("node") > F.col("v")) & (F.col("v") != F.col("leader")) & (F.col("root") != F.col("to"))
+    more = left.join(other, "key").where(new & _agreeing("sig", "q"))
+    more = durable(more.select(F.col("node").alias("u"), "v").distinct())
+    return durable(found.unionByName(_verified(more, sets, similarity)))

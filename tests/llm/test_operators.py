@@ -35,7 +35,10 @@ def awkward(spark):
         (None, "no id here at all", "de", "b"), (5, long, "en", "b"), (6, "déjà vu ßtraße 日本語 \U0001f600", "fr", "a"), (7, "###", None, "b"),
     ]
     df = docs_of(spark, rows)
-    for name in ("Score", "predicted", "taken", "FP", "kept", "component_id", "n_removed", "lang_pred", "n_hit", "size", "kinds", "n_words"):
+    for name in (
+        "Score", "predicted", "taken", "FP", "kept", "component_id", "n_removed", "lang_pred", "n_hit", "size", "kinds", "n_words", "held_out",
+        "rank", "budget", "ahead", "p_source", "limits", "rule", "bin", "node", "root", "least", "y", "k", "c", "at", "m", "__id", "__th", "__bytes", "__size", "__c0",
+    ):
         df = df.withColumn(name, F.lit("mine"))
     return df
 
@@ -125,41 +128,42 @@ def test_restore_keeps_the_likeliest():
 # language
 
 
-def longest_matches(text, sample):
-    n, i = 0, 0
-    while i < len(text):
-        k = 0
-        while i + k < len(text) and text[i : i + k + 1] in sample:
-            k += 1
-        i += max(k, 1)
-        n += 1
-    return n
-
-
 def test_phrases_against_greedy_search():
     rng = random.Random(2)
     samples = {k: "".join(rng.choice(k * 3 + "abcde ") for _ in range(300)) for k in ("x", "y")}
     model = language.Model(samples)
-    for _ in range(30):
-        text = "".join(rng.choice("abcdexyz ") for _ in range(rng.randrange(1, 200)))
-        points = language.fold(text)
-        codes = model.codes(points)
-        folded = {k: "".join(map(chr, language.fold(v))) for k, v in samples.items()}
-        plain = "".join(map(chr, points)).replace("z", "\x01")
-        got = model.phrases([codes])[0].tolist()
-        # a miss on an unseen code starts a phrase at the next one
-        want = [1 + misses(plain, folded[k]) for k in model.langs]
-        assert got == want
+    texts = [language.fold("".join(rng.choice("abcdexyzé日 ") for _ in range(n))) for n in [*range(1, 40), 513, 700, 1024, 5000, 20_000, 0]]
+    texts.append(language.fold("a" * 3000 + samples["x"] * 20))  # matches that cross the pieces
+    want = [[bool(t) + misses(t, language.fold(samples[k])) for k in model.langs] for t in texts]
+    assert model.phrases(texts).tolist() == want
+    assert [model.phrases([t])[0].tolist() for t in texts[-4:]] == want[-4:]
+
+
+def test_languages_over_many_letters():
+    """Two invented languages over the same 1,500 letters, which differ in what follows what."""
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + i) for i in range(1500)]
+    pairs = {k: [[rng.choice(letters) for _ in range(2)] for _ in range(700)] for k in ("aa", "bb")}
+    write = lambda k, n: "".join(x for _ in range(n) for x in rng.choice(pairs[k]))
+    model = language.Model({k: write(k, 4000) for k in pairs})
+    got = [model.predict([write(k, 40)])[0][0] == k for k in pairs for _ in range(60)]
+    assert sum(got) >= 118
+
+
+def test_unequal_samples_are_normalised():
+    rng = random.Random(7)
+    vocab = {"aa": [w for w in WORDS], "bb": [w[::-1] for w in WORDS]}
+    model = language.Model({"aa": prose(rng, 8000, vocab["aa"]), "bb": prose(rng, 150, vocab["bb"])})
+    assert all(model.predict([prose(rng, 30, vocab[k])])[0][0] == k for k in vocab for _ in range(30))
 
 
 def misses(text, sample):
-    state, n = "", 0
-    for c in text:
-        if state + c in sample:
-            state += c
-        else:
+    """A miss on an unseen byte starts a phrase at the next one."""
+    start, n = 0, 0
+    for i in range(len(text)):
+        if text[start : i + 1] not in sample:
             n += 1
-            state = c if c in sample else ""
+            start = i if text[i : i + 1] in sample else i + 1
     return n
 
 
@@ -536,8 +540,27 @@ def test_sketch_quantiles(spark):
     rows = [(lang, s, 1000, int(v * 1000), 0, 0, 0) for (lang, s), vs in values.items() for v in vs]
     df = spark.createDataFrame(rows, "lang string, source string, n_words long, n_symbols long, n_repeat_words long, n_dup_lines long, word_chars long")
     limits = {(r["lang"], r["source"]): r["limits"] for r in quality_rules.thresholds(df).collect()}
+    own = {k: spread_limit(vs) for k, vs in values.items()}
+    overall = spread_limit([v for vs in values.values() for v in vs])  # of the language too: there is one
     for key, vs in values.items():
-        vs = sorted(int(v * 1000) / 1000 for v in vs)
-        mid, up = vs[(len(vs) + 1) // 2 - 1], vs[-(-len(vs) * 3 // 4) - 1]
-        want = mid + max(quality_rules.SPREAD * (up - mid), quality_rules.RULES["symbols_per_word"][1])
-        assert limits[key]["symbols_per_word"] == pytest.approx(want, rel=0.08)
+        want = (len(vs) * own[key] + quality_rules.PRIOR * overall) / (len(vs) + quality_rules.PRIOR)
+        assert limits[key]["symbols_per_word"] == pytest.approx(want, rel=0.12)
+        assert limits[key]["repeat_share"] == pytest.approx(quality_rules.RULES["repeat_share"][2])  # no spread
+
+
+def spread_limit(values):
+    vs = sorted(int(v * 1000) / 1000 for v in values)
+    mid, up = vs[(len(vs) + 1) // 2 - 1], vs[-(-len(vs) * 3 // 4) - 1]
+    return mid + quality_rules.SPREAD * (up - mid)
+
+
+def test_limits_follow_the_group(spark):
+    """What is far outside its own group goes, though the other group is full of it; a lone row leans on its language."""
+    rng = random.Random(16)
+    wordy = lambda n: " ".join("x" * rng.randrange(n - 1, n + 2) for _ in range(60))
+    rows = [(i, wordy(5), "en", "short") for i in range(300)] + [(300 + i, wordy(12), "de", "long") for i in range(300)]
+    rows += [(900, wordy(12), "en", "short"), (901, wordy(5), "de", "long"), (902, wordy(5), "en", "rare"), (903, wordy(12), "en", "rare"), (904, wordy(5), None, None)]
+    out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs_of(spark, rows)).collect()}
+    assert all(out[i]["kept"] for i in range(600))
+    assert out[900]["broken"] == ["chars_per_word"] and out[901]["broken"] == ["chars_per_word_low"]
+    assert out[902]["kept"] and not out[903]["kept"]

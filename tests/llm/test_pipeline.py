@@ -7,7 +7,8 @@ import pytest
 
 import corpus_pipeline
 from quantloom.llm import cnn, mixing
-from tests.llm.test_operators import WORDS, classes, contamination, docs_of, labels_of, prose, simhash_of
+from tests.llm.test_operators import WORDS, contamination, docs_of, labels_of, prose
+from tests.llm.test_similar import roots_of
 
 
 @pytest.fixture(scope="module")
@@ -58,9 +59,8 @@ def test_each_stage_against_brute_force(spark, folder):
             assert any(after[i]["text"] != before[i]["text"] for i in after)
             assert all(set(Counter(r["text"].split("\n"))) <= {*before[i]["text"].split("\n"), ""} for i, r in after.items())
         if k == 2:
-            fps = {i: simhash_of(r["text"]) for i, r in before.items()}
-            roots = classes(sorted(fps), fps)
-            assert set(after) == {i for i, r in roots.items() if i == r}
+            roots = roots_of([(i, r["text"]) for i, r in before.items()])
+            assert set(after) == {i for i, r in roots.items() if i == r} and {302, 308} & set(before) and not {302, 308} & set(after)
         if k == 3:
             assert set(after) == {i for i, r in before.items() if not contamination(r["text"], items)[4]}
             assert len(after) < len(before)

@@ -48,6 +48,37 @@ def test_similar_documents_against_all_pairs(spark):
 
 
 def test_stage_drops_near_copies_with_edited_words(spark):
-    rows = corpus()
+    rows = [r for r in corpus() if r[1].strip()]
     out = corpus_pipeline.near_dups(spark, docs_of(spark, rows), "")
     assert sorted(r["doc_id"] for r in out.collect()) == sorted(set(roots_of(rows).values()))
+
+
+def test_rows_that_share_or_lack_an_id(spark):
+    rng = random.Random(9)
+    a, b, c, d = (prose(rng, 80) for _ in range(4))
+    rows = [(1, a, "en", "s"), (1, b, "en", "s"), (1, b, "en", "s"), (2, a.upper(), "en", "s"), (None, c, "en", "s"), (None, c, "en", "s"), (None, d, "en", "s"), (3, d, "en", "s"), (4, None, None, None), (5, "", None, None)]
+    out = corpus_pipeline.near_dups(spark, docs_of(spark, rows), "").collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in out) == sorted([(1, a), (1, b), (0, c), (3, d), (4, "")])
+    assert corpus_pipeline.near_dups(spark, docs_of(spark, []), "").collect() == []
+
+
+def test_signatures_agree_as_sets_do():
+    rng = random.Random(10)
+    for n in (0, 2, 6, 20):
+        text = prose(rng, 400)
+        a, b = (similar.shingles(t.encode()) for t in (text, edited(rng, text, n)))
+        jaccard = len(set(a.tolist()) & set(b.tolist())) / len(set(a.tolist()) | set(b.tolist()))
+        same = (similar.signature(a).view("u1") == similar.signature(b).view("u1")).mean()
+        assert abs(same - jaccard) < 0.12
+
+
+def test_agreement_is_counted_in_bytes(spark):
+    rng = random.Random(11)
+    rows = []
+    for differing in (0, 1, 51, 52, 53, 160):
+        x = [rng.randrange(256) for _ in range(160)]
+        y = [v ^ (rng.randrange(1, 256) if i < differing else 0) for i, v in enumerate(x)]
+        as_longs = lambda v: [int.from_bytes(bytes(v[i : i + 8]), "little", signed=True) for i in range(0, 160, 8)]
+        rows.append((differing, as_longs(x), as_longs(y)))
+    df = spark.createDataFrame(rows, "n int, p array<long>, q array<long>")
+    assert {r["n"] for r in df.where(similar._agreeing("p", "q")).collect()} == {0, 1, 51, 52}
