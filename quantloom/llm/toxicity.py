@@ -44,7 +44,7 @@ NEXT, SHARED = 4, 3
 #: Restorations of a token that are looked at, and the share of their probability that one needs to count.
 BEST, POSTERIOR = 4, 0.02
 #: Scored tokens that a worker remembers, and their longest (longer ones are scored anew each time).
-REMEMBERED, MEMORABLE = 300_000, 64
+REMEMBERED, MEMORABLE = 100_000, 64
 
 # Letters that a character resembles.
 LOOKALIKES = {
@@ -212,6 +212,11 @@ def tokens(text: str) -> set[str]:
     return found
 
 
+_NOTHING = (0.0, "")
+#: Marks that end a word and never stand for a letter there.
+_ENDS = ".,;:!?)"
+
+
 def chain(word: str) -> list[str]:
     """Beginnings of a word (ending in a dash), and the whole word."""
     return [*(f"{word[:n]}-" for n in HEADS if len(word) >= n), word]
@@ -238,6 +243,7 @@ class Model:
         # counts in the sample -> what they'd be if both classes were sampled alike
         self.weight = tuple(w * (n_toxic + n_clean) for w in (share / max(1, n_toxic), (1 - share) / max(1, n_clean)))
         self.counts = counts
+        self.begun = {f[: HEADS[0]] for f in counts}
         self.skeletons = {skeleton(f.removesuffix("-")) for f in counts}
         self.curve = np.array([1.0, 1.0, _logit(share)])
         self.known: dict[str, tuple[float, str]] = {}
@@ -275,7 +281,11 @@ class Model:
         """The most telling word behind a token, and its evidence."""
         got = self.known.get(token)
         if got is None:
-            got = max(((self.of_word(w), w) for w in candidates(token, self.chars, self.worth)), default=(0.0, ""))
+            plain = token.rstrip(_ENDS)
+            if plain.isalpha() and not _REPEAT.search(plain):  # its only candidate
+                return (self.of_word(plain), plain) if plain[: HEADS[0]] in self.begun else _NOTHING
+            got = max(((self.of_word(w), w) for w in candidates(token, self.chars, self.worth) if w[: HEADS[0]] in self.begun), default=_NOTHING)
+            got = got if got[0] else _NOTHING
             if len(self.known) >= REMEMBERED:
                 self.known.clear()
             if len(token) <= MEMORABLE:
@@ -367,7 +377,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
         for b in batches:
             y = b.column(0).to_pylist()
             m = shared_model.value
-            x = [m.told({w: e for w in words if (e := m.of_word(w, k))}, k) for k, words in zip(y, b.column(1).to_pylist(), strict=True)]
+            x = [m.told({w: e for w in b.column(1)[i].as_py() if (e := m.of_word(w, k))}, k) for i, k in enumerate(y)]
             columns = [pa.array(y, pa.int32()), pa.array([a for a, _ in x], pa.float64()), pa.array([a for _, a in x], pa.float64())]
             yield pa.RecordBatch.from_arrays(columns, names=["y", "a", "b"])
 
