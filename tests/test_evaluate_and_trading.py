@@ -143,36 +143,73 @@ def test_fill_columns_match_scalars(spark):
     df = spark.createDataFrame([(3.999, 4.001, 100, 100), (4.0, 3.9, 1, 1), (0.0, 4.0, 1, 1), (3.999, 4.001, 10**7, 10**7)], "b double, a double, bq long, aq long")
     got = df.select(T.fill_col("buy", "b", "a", "bq", "aq", 1000), T.fill_col("sell", "b", "a", "bq", "aq", 1000)).collect()
     assert got[1][0] is None and got[2][1] is None and tuple(got[3]) == (4.002, 3.998)
-    bp = T._impact(1000 * 4.002, 4.001 * 100)
-    assert got[0][0] == pytest.approx(T._up(4.002 * (1 + bp / 1e4)))
+    bp = min(5.0 * (1000 * 4.002 / (4.001 * 100) - 0.10), 50.0)
+    assert got[0][0] == pytest.approx(math.ceil(4.002 * (1 + bp / 1e4) / 0.001 - 1e-9) * 0.001)
 
 
-def day_frame(targets, tradable=None, mids=None):
+def one_day(spark, targets, rule, meta, start=0.0, tradable=None, mids=None):
+    """The figures of one instrument-day with the given targets, without fees."""
     n = len(targets)
-    mid = np.array(mids if mids is not None else [4.0] * n)
-    return pd.DataFrame({"bid1_px": mid - 0.001, "ask1_px": mid + 0.001, "bid1_qty": 10**7, "ask1_qty": 10**7, "mid_px": mid, "last_px": mid, "target": targets, "tradable": tradable or [True] * n, "decided": True})
-
-
-def test_settlement_lock():
-    rule, free = T.Rule(max_units=1000), T.CostModel("free", 0, 0, 0)
-    t1 = T.simulate(day_frame([1000.0, 0.0, 0.0]), free, rule, T.Instrument("T+1"), 0)
-    assert t1["end"] == 1000 and t1["blocked"] == 1000 and t1["n_trades"] == 1  # the blocked sell isn't tried each row
-    t0 = T.simulate(day_frame([1000.0, 0.0, 0.0]), free, rule, T.Instrument("T+0"), 0)
-    assert t0["end"] == 0 and t0["n_trades"] == 2 and t0["pnl"] == pytest.approx(-1000 * 0.004)
-    held = T.simulate(day_frame([0.0, 0.0], mids=[4.0, 4.1]), free, rule, T.Instrument("T+1"), 950)
-    assert held["end"] == 0 and held["units"] == 950  # an odd lot goes in one order
-
-
-def test_flat_before_a_break():
-    out = T.simulate(day_frame([1000.0, 1000.0, 1000.0, 0.0, 1000.0], [True, True, True, False, True]), T.CostModel("f", 0), T.Rule(max_units=1000), T.Instrument("T+0"), 0)
-    assert out["n_trades"] == 3 and out["end"] == 1000
-
-
-def test_unmarkable_rows_are_skipped():
-    d = day_frame([1000.0] * 4)
-    d.loc[1:2, ["mid_px", "last_px"]] = np.nan
-    out = T.simulate(d, T.CostModel("f", 0), T.Rule(max_units=1000), T.Instrument(), 0)
-    assert math.isfinite(out["pnl"]) and out["end"] == 1000
+    mids = mids or [4.0] * n
+    rows = [("20250101", "x", i, t, (tradable or [True] * n)[i], True, m, m, m and m - 0.001, m and m + 0.001, 10**7, 10**7) for i, (t, m) in enumerate(zip(targets, mids, strict=True))]
+    df = spark.createDataFrame(rows, "date string, instrument string, ts_ms long, target double, tradable boolean, decided boolean, mid_px double, last_px double, bid1_px double, ask1_px double, bid1_qty long, ask1_qty long")
+    days = T._filled(T.with_orders(df, rule), rule, {"x": meta}, {"x": start}, 1.0)
+    return T.costed(days, {"f": T.CostModel("f", 0, 0, 0)}).first()
+
+
+def test_settlement_lock(spark):
+    rule = T.Rule(max_units=1000)
+    t1 = one_day(spark, [1000.0, 0.0, 0.0], rule, T.Instrument("T+1"))
+    assert t1["position_end_units"] == 1000 and t1["t1_blocked_units"] == 1000 and t1["n_trades"] == 1  # the blocked sell isn't tried each row
+    t0 = one_day(spark, [1000.0, 0.0, 0.0], rule, T.Instrument("T+0"))
+    assert t0["position_end_units"] == 0 and t0["n_trades"] == 2 and t0["pnl_cny"] == pytest.approx(-1000 * 0.004)
+    assert t0["peak_position_units"] == 1000 and t0["avg_position_units"] == pytest.approx(1000 / 3)
+    held = one_day(spark, [0.0, 0.0], rule, T.Instrument("T+1"), 950.0, mids=[4.0, 4.1])
+    assert held["position_end_units"] == 0 and held["traded_units"] == 950  # an odd lot goes in one order
+
+
+def test_flat_before_a_break(spark):
+    out = one_day(spark, [1000.0, 1000.0, 1000.0, 0.0, 1000.0], T.Rule(max_units=1000), T.Instrument("T+0"), tradable=[True, True, True, False, True])
+    assert out["n_trades"] == 3 and out["position_end_units"] == 1000
+
+
+def test_unmarkable_rows_are_skipped(spark):
+    out = one_day(spark, [1000.0] * 4, T.Rule(max_units=1000), T.Instrument(), mids=[4.0, None, None, 4.1])
+    assert math.isfinite(out["pnl_cny"]) and out["position_end_units"] == 1000 and out["pnl_cny"] == pytest.approx(1000 * (4.1 - 4.003 + 0.001))
+
+
+def row_by_row(targets, marks, max_units, lot, t1, start, max_order):
+    """Units after each row, by going over every row."""
+    units, bought, last, path = start, 0.0, start, []
+    for goal, mark in zip(targets, marks, strict=True):
+        if mark is not None and goal != last:
+            last = goal
+            if goal > units:
+                n = min((goal - units) // lot, (max_units - units) // lot) * lot
+                n = min(n, max_order)
+                if n >= lot:
+                    units, bought = units + n, bought + n
+            elif goal < units:
+                free = min(units - goal, units - (bought if t1 else 0))
+                n = units if goal == 0 and free == units else free // lot * lot
+                units -= min(n, max_order)
+        path.append(units)
+    return path
+
+
+def test_orders_alone_give_what_every_row_gives(spark):
+    rng = random.Random(21)
+    for k in range(8):
+        n, t1 = 30, bool(k % 2)
+        targets = [float(rng.choice([0, 100, 250, 600, 1000])) for _ in range(n)]
+        mids = [4.0 if rng.random() < 0.8 else None for _ in range(n)]
+        start = float(rng.choice([0, 150, 400]))
+        meta = T.Instrument("T+1" if t1 else "T+0", max_order=500)
+        got = one_day(spark, targets, T.Rule(max_units=1000), meta, start, mids=mids)
+        path = row_by_row(targets, mids, 1000, 100, t1, start, 500)
+        # the last row before a break is flat; there is none here
+        assert got["position_end_units"] == path[-1] and got["peak_position_units"] == max(path)
+        assert got["avg_position_units"] == pytest.approx(sum(path) / n)
 
 
 def test_backtest_chains_days(spark):
