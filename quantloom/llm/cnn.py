@@ -5,9 +5,9 @@ cover the whole text (the last one is padded). In a chunk, bytes are embedded, f
 bytes slide by ``STRIDE``, rectified and max-pooled over the chunk. The chunk vectors are pooled over
 the document by maximum and by mean, and a logistic unit combines both into one probability.
 
-The network is fitted on the driver on a bounded sample of labelled texts (``PER_CLASS`` documents of
-each class, ``TRAIN_CHUNKS`` chunks spread over each) and broadcast: its size is fixed. Scoring runs in
-one pass without a shuffle; a text is processed in blocks of chunks, so its length doesn't matter.
+The network is fitted on the driver on a bounded sample of labelled documents (``PER_CLASS`` of each class,
+whole texts) in a fixed number of steps, and broadcast: its size is fixed. Scoring runs in one pass without
+a shuffle; fitting and scoring process a text in blocks of chunks, so its length doesn't matter.
 """
 
 from __future__ import annotations
@@ -17,18 +17,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quantloom.llm.common import crc_bucket, labelled_sample, map_bytes
+from quantloom.llm.common import crc_bucket, held_out_second, labelled_sample, map_bytes
 
 CHUNK, HOP = 256, 224
 KERNEL, STRIDE = 8, 2
 EMBED, FILTERS = 8, 24
 POSITIONS = (CHUNK - KERNEL) // STRIDE + 1
 #: Bounds of the training sample.
-PER_CLASS = 2000
-TRAIN_CHUNKS = 8
-EPOCHS, BATCH, RATE, DECAY = 10, 32, 4e-3, 1e-4
+PER_CLASS = 1000
+STEPS, BATCH, RATE, DECAY = 900, 32, 6e-3, 1e-3
 THRESHOLD = 0.7
-#: Chunks that one step of scoring holds.
+#: Chunks that are held at a time.
 BLOCK = 512
 
 
@@ -117,59 +116,70 @@ class Network:
         s = {k: np.zeros_like(v) for k, v in p.items()}
         edges = np.searchsorted(owner, np.arange(len(y) + 1))
         weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(y)
-        step = 0
-        for epoch in range(EPOCHS):
-            rate = RATE * (1 - epoch / EPOCHS)
-            order = rng.permutation(len(y))
-            for at in range(0, len(order), BATCH):
-                docs = order[at : at + BATCH]
-                rows = np.concatenate([np.arange(edges[d], edges[d + 1]) for d in docs])
-                own = np.repeat(np.arange(len(docs)), edges[docs + 1] - edges[docs])
-                grads = self._grads(x[rows], own, y[docs], weight[docs])
-                step += 1
-                for k, g in grads.items():
-                    g = g + DECAY * p[k]
-                    m[k] = 0.9 * m[k] + 0.1 * g
-                    s[k] = 0.999 * s[k] + 0.001 * g * g
-                    p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
-                    p[k] = p[k].astype(np.float32)
+        order = np.zeros(0, np.int64)
+        for step in range(1, STEPS + 1):
+            rate = RATE * (1 - (step - 1) / STEPS)
+            if len(order) < BATCH:
+                order = np.concatenate((order, rng.permutation(len(y))))
+            docs, order = order[:BATCH], order[BATCH:]
+            rows = np.concatenate([np.arange(edges[d], edges[d + 1]) for d in docs])
+            own = np.repeat(np.arange(len(docs)), edges[docs + 1] - edges[docs])
+            grads = self.grads(x[rows], own, y[docs], weight[docs])
+            for k, g in grads.items():
+                g = g + DECAY * p[k]
+                m[k] = 0.9 * m[k] + 0.1 * g
+                s[k] = 0.999 * s[k] + 0.001 * g * g
+                p[k] -= rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(s[k] / (1 - 0.999**step)) + 1e-8)
+                p[k] = p[k].astype(np.float32)
         return self.freeze()
 
-    def _grads(self, block: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
-        p = self.p
-        n, docs = len(block), len(y)
-        emb = p["embed"][block]  # n x CHUNK x EMBED
-        flat = emb.reshape(n, CHUNK * EMBED)
+    def convolved(self, block: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Chunks -> the largest response of each filter before rectification, and its position."""
+        flat = self.p["embed"][block].reshape(len(block), CHUNK * EMBED)
         window = np.lib.stride_tricks.sliding_window_view(flat, KERNEL * EMBED, axis=1)[:, :: STRIDE * EMBED]
-        conv = window.reshape(n * POSITIONS, -1) @ p["filters"]
-        conv = conv.reshape(n, POSITIONS, FILTERS)
-        where = conv.argmax(1)  # n x FILTERS
-        raw = np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + p["bias"]
-        pooled = np.maximum(raw, 0)
+        conv = (window.reshape(len(block) * POSITIONS, -1) @ self.p["filters"]).reshape(len(block), POSITIONS, FILTERS)
+        where = conv.argmax(1)
+        return np.take_along_axis(conv, where[:, None, :], 1)[:, 0] + self.p["bias"], where
+
+    def loss(self, block: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+        """Weighted mean log loss of documents; own tells the document of each chunk."""
+        raw, _ = self.convolved(block)
+        features, _, _ = self._features(np.maximum(raw, 0), own, len(y))
+        q = _sigmoid(features @ self.p["out"] + self.p["shift"])
+        return float((-weight * np.where(y == 1, np.log(q), np.log(1 - q))).sum() / len(y))
+
+    @staticmethod
+    def _features(pooled, own, docs):
         count = np.bincount(own, minlength=docs)
-        top = np.zeros((docs, FILTERS), np.float32)
+        top = np.zeros((docs, FILTERS), pooled.dtype)
         np.maximum.at(top, own, pooled)
-        mean = np.zeros((docs, FILTERS), np.float32)
+        mean = np.zeros((docs, FILTERS), pooled.dtype)
         np.add.at(mean, own, pooled)
         mean /= count[:, None]
-        features = np.concatenate((top, mean), axis=1)
-        d = ((_sigmoid(features @ p["out"] + p["shift"]) - y) * weight / docs).astype(np.float32)
-        g = {"out": features.T @ d, "shift": d.sum(keepdims=True)}
+        return np.concatenate((top, mean), axis=1), top, count
+
+    def grads(self, block: np.ndarray, own: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict:
+        """Gradient of the loss by each parameter."""
+        p, docs = self.p, len(y)
+        parts = [self.convolved(block[at : at + BLOCK]) for at in range(0, len(block), BLOCK)]
+        raw, where = (np.concatenate(c) for c in zip(*parts, strict=True))
+        pooled = np.maximum(raw, 0)
+        features, top, count = self._features(pooled, own, docs)
+        d = ((_sigmoid(features @ p["out"] + p["shift"]) - y) * weight / docs).astype(raw.dtype)
         back = d[:, None] * p["out"][None, :]
-        hit = pooled >= top[own]
-        dp = back[own, :FILTERS] * hit + back[own, FILTERS:] / count[own][:, None]
-        dp = np.where(raw > 0, dp, 0).astype(np.float32)
-        g["bias"] = dp.sum(0)
-        # only the maximal position of each filter has a gradient
-        picked = (where[:, :, None] * (STRIDE * EMBED) + np.arange(KERNEL * EMBED)).reshape(n, -1)
-        seen = np.take_along_axis(flat, picked, 1).reshape(n, FILTERS, KERNEL * EMBED)
-        g["filters"] = np.einsum("nfk,nf->kf", seen, dp, optimize=True)
-        to_flat = dp[:, :, None] * p["filters"].T[None]  # n x FILTERS x (KERNEL * EMBED)
-        at_byte = (where[:, :, None] * STRIDE + np.arange(KERNEL)).reshape(n, -1)
-        bytes_ = np.take_along_axis(block, at_byte, 1).reshape(-1)
-        g["embed"] = np.stack(
-            [np.bincount(bytes_, to_flat.reshape(-1, EMBED)[:, e], minlength=256) for e in range(EMBED)], axis=1
-        ).astype(np.float32)
+        dp = back[own, :FILTERS] * (pooled >= top[own]) + back[own, FILTERS:] / count[own][:, None]
+        dp = np.where(raw > 0, dp, 0).astype(raw.dtype)
+        g = {"out": features.T @ d, "shift": d.sum(keepdims=True), "bias": dp.sum(0)}
+        g["filters"], g["embed"] = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
+        for at in range(0, len(block), BLOCK):
+            # only the maximal position of each filter has a gradient
+            dq, bytes_ = dp[at : at + BLOCK], where[at : at + BLOCK]
+            places = (bytes_[:, :, None] * STRIDE + np.arange(KERNEL)).reshape(len(dq), -1)
+            bytes_ = np.take_along_axis(block[at : at + BLOCK], places, 1).reshape(-1)
+            seen = p["embed"][bytes_].reshape(len(dq), FILTERS, KERNEL * EMBED)
+            g["filters"] += np.einsum("nfk,nf->kf", seen, dq, optimize=True)
+            to_flat = (dq[:, :, None] * p["filters"].T[None]).reshape(-1, EMBED)
+            g["embed"] += np.stack([np.bincount(bytes_, to_flat[:, e], minlength=256) for e in range(EMBED)], axis=1).astype(raw.dtype)
         return g
 
 
@@ -183,38 +193,19 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     sample = labelled_sample(docs, labels, label, per_class, learned)
     share = labels.where(learned).agg(F.avg(F.col(label).cast("double"))).first()[0]
 
-    def rows():
-        def step(texts):
-            out = []
-            for text in texts:
-                data = np.frombuffer(text or b"", np.uint8)
-                first = starts(len(data))
-                some = first[np.unique(np.linspace(0, len(first) - 1, TRAIN_CHUNKS).round().astype(int))]
-                out.append(chunks(data, some).tobytes())
-            return [out]
-
-        return step
-
-    got = map_bytes(sample, [T.StructField("x", T.BinaryType())], rows, keep=["doc_id", "y"]).collect()
-    got = sorted(got, key=lambda r: (r["doc_id"], bytes(r["x"])))
+    got = sample.select("y", F.col("text").cast("binary").alias("x")).toArrow()
+    got = sorted(zip(got.column("y").to_pylist(), (x or b"" for x in got.column("x").to_pylist()), strict=True))
     if not got:
         net = Network()
         net.p["out"] *= 0
         return net.freeze()
-    return fit_parts([np.frombuffer(r["x"], np.uint8).reshape(-1, CHUNK) for r in got], [r["y"] for r in got], share)
-
-
-def fit_parts(parts: list[np.ndarray], y: list[int], share: float) -> Network:
-    """Fit on the chunks of each document. Texts shorter than a chunk are rare in a sample, so each
-    document of label 1 also gives one short text: the start, of 12 to 128 bytes, of one of its chunks."""
-    rng = np.random.default_rng(1)
-    parts, y = list(parts), list(y)
-    for k in range(len(parts)):
-        if y[k] == 1:
-            short = parts[k][rng.integers(len(parts[k]))][None].copy()
-            short[0, rng.integers(12, 128) :] = 0
-            parts.append(short)
-            y.append(1)
+    return fit_texts([x for _, x in got], [y for y, _ in got], share)
+
+
+def fit_texts(texts: list[bytes], y: list[int], share: float) -> Network:
+    """Fit on all chunks of whole texts."""
+    given = [np.frombuffer(t, np.uint8) for t in texts]
+    parts = [chunks(x, starts(len(x))) for x in given]
     owner = np.repeat(np.arange(len(parts)), [len(x) for x in parts])
     return Network().fit(np.concatenate(parts), owner, np.array(y, np.float32), share)
 
@@ -244,5 +235,4 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD, keep: lis
 
 def classify(docs: DataFrame, labels: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Train on the labelled part, score all; append held_out, score and predicted."""
-    out = score(docs, train(docs, labels), keep=keep)
-    return out.withColumn("held_out", crc_bucket("doc_id", 4) == 2)
+    return held_out_second(score(docs, train(docs, labels), keep=keep), crc_bucket("doc_id", 4) == 2)

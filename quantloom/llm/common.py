@@ -80,9 +80,8 @@ def map_bytes(
     kept = without(df.select([F.col(f"`{c}`") for c in (df.columns if keep is None else keep)]), names)
     out = T.StructType([*kept.schema.fields, *fields])
     carried = kept.columns
-    given = df.select(
-        *[F.col(f"`{c}`") for c in carried], F.col(f"`{text_col}`").cast("binary").alias("__bytes")
-    )
+    # names of our own, so that none can clash
+    given = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carried)], F.col(f"`{text_col}`").cast("binary").alias("bytes"))
     types = [_arrow(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

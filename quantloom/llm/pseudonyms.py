@@ -6,6 +6,10 @@ in the layout it had. The permutation depends on the key and the kind only, so e
 pseudonyms in every document and layout, different values get different ones, and the key's holder can
 turn them back (``Vault.reveal``).
 
+A date is permuted among those that every layout writes alike: with as many digits in day and month, on the
+same side of the 12th (which tells day from month), and in May or not (whose name has no shorter form). So
+each layout keeps its width and its order, at the price of keeping just that much of the date.
+
 One pass over the documents without a shuffle; the broadcast is the key.
 """
 
@@ -15,6 +19,7 @@ import hashlib
 import math
 import re
 from datetime import date, timedelta
+from functools import cache
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -22,6 +27,8 @@ from pyspark.sql import types as T
 from quantloom.llm.common import map_bytes
 
 ROUNDS = 10
+#: Letters of a name that are permuted together, and networks that a worker remembers.
+BLOCK, REMEMBERED = 64, 10_000
 FIRST_DAY, LAST_DAY = date(1900, 1, 1), date(2099, 12, 31)
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -47,8 +54,10 @@ _PATTERN = re.compile(
 #: Every value has one of these; the pattern is tried only in the words around them.
 _HINT = re.compile(r"[0-9@]+|AKIA")
 _SPACE = re.compile(r"\s")
-#: Words before a hint that a value can start in, and the characters that they can have.
-WORDS_BEFORE, REACH = 2, 1000
+#: Groups of an account number that have no digit, after one that has.
+_GROUPS = re.compile(r"(?: [A-Z0-9]{1,4}(?![A-Za-z0-9]))+")
+#: Words before a hint that a value can start in.
+WORDS_BEFORE = 2
 #: Kinds in the order of the report's counts.
 KINDS = ["email", "iban", "key", "ip", "date", "ssn", "phone", "card"]
 
@@ -110,6 +119,8 @@ class Vault:
         self.nets: dict[tuple[str, int], Feistel] = {}
 
     def _net(self, kind: str, size: int) -> Feistel:
+        if len(self.nets) >= REMEMBERED:
+            self.nets.clear()
         return self.nets.setdefault((kind, size), Feistel(self.key, kind, size))
 
     def _string(self, kind: str, text: str, alphabets: list[str], back: bool, valid=None) -> str:
@@ -133,10 +144,15 @@ class Vault:
         local, _, domain = value.rpartition("@")
         places = [i for i, c in enumerate(local) if c.isalnum() and c.isascii()]
         kinds = [DIGITS if local[i] in DIGITS else LOWER if local[i] in LOWER else UPPER for i in places]
-        new = self._string("email", "".join(local[i] for i in places), kinds, back)
-        out = list(local)
-        for i, c in zip(places, new, strict=True):
-            out[i] = c
+        out, plain = list(local), hashlib.blake2b(key=self.key)
+        # a long name goes block by block, each under what stands before it
+        for at in range(0, len(places), BLOCK):
+            some = places[at : at + BLOCK]
+            old = "".join(local[i] for i in some)
+            new = self._string(f"email{plain.hexdigest() if at else ''}", old, kinds[at : at + BLOCK], back)
+            plain.update((new if back else old).encode())
+            for i, c in zip(some, new, strict=True):
+                out[i] = c
         return f"{''.join(out)}@{domain}"
 
     def _key(self, value, back):
@@ -174,8 +190,9 @@ class Vault:
             return None
         if not FIRST_DAY <= day <= LAST_DAY:
             return None
-        span = (LAST_DAY - FIRST_DAY).days + 1
-        return FIRST_DAY + timedelta(self._net("date", span).walk((day - FIRST_DAY).days, back=back))
+        days, place = _days()[_shape(day)], _places()[day]
+        shape = "".join(map(str, _shape(day)))
+        return days[self._net(f"date:{shape}", len(days)).walk(place, back=back)]
 
     def _ymd(self, value, back):
         mark = value[4]
@@ -187,12 +204,12 @@ class Vault:
         mark = re.search(r"[-/.]", value).group()
         a, b, y = value.split(mark)
         # month first with slashes, day first otherwise; the other order if only that is a date
-        month_first = mark == "/"
-        for m, d in ((a, b), (b, a)) if month_first else ((b, a), (a, b)):
+        for month_first in (mark == "/", mark != "/"):
+            m, d = (a, b) if month_first else (b, a)
             new = self._day(int(y), int(m), int(d), back)
             if new:
-                pair = (new.month, new.day) if month_first else (new.day, new.month)
-                return mark.join((_padded(pair[0], a), _padded(pair[1], b), f"{new.year:04d}"))
+                pair = (_padded(new.month, m), _padded(new.day, d))
+                return mark.join((*(pair if month_first else pair[::-1]), f"{new.year:04d}"))
         return None
 
     def _named(self, d, name, y, back):
@@ -201,7 +218,7 @@ class Vault:
         if new is None:
             return None
         long = MONTHS[new.month - 1]
-        return str(new.day), long if len(name) > 3 or name == "May" else long[:3], f"{new.year:04d}"
+        return _padded(new.day, d), long if len(name) > 3 else long[:3], f"{new.year:04d}"
 
     def _dmon(self, value, back):
         new = self._named(*value.split(" "), back)
@@ -257,11 +274,13 @@ def _windows(text: str) -> list[list[int]]:
         if out and m.end() <= out[-1][1]:
             continue
         a = m.start()
-        floor = max(0, a - REACH)
+        floor = out[-1][1] if out else 0  # back to the stretch before at most, so that all steps are linear
         for _ in range(WORDS_BEFORE + 1):
             a = max(text.rfind(" ", floor, a), text.rfind("\n", floor, a), floor)
         space = _SPACE.search(text, m.end())
         b = space.start() if space else len(text)
+        groups = _GROUPS.match(text, b)
+        b = groups.end() if groups else b
         if out and a <= out[-1][1]:
             out[-1][1] = b
         else:
@@ -269,6 +288,26 @@ def _windows(text: str) -> list[list[int]]:
     return out
 
 
+def _shape(day: date) -> tuple[int, int]:
+    """What all layouts of a date show of its shape: digits of the month and May; digits of the day and the 12th."""
+    return (3 if day.month == 5 else len(str(day.month))), (3 if day.day > 12 else len(str(day.day)))
+
+
+@cache
+def _days() -> dict[tuple[int, int], list[date]]:
+    """The days of each shape, in order."""
+    found: dict[tuple[int, int], list[date]] = {}
+    for k in range((LAST_DAY - FIRST_DAY).days + 1):
+        day = FIRST_DAY + timedelta(k)
+        found.setdefault(_shape(day), []).append(day)
+    return found
+
+
+@cache
+def _places() -> dict[date, int]:
+    return {day: k for days in _days().values() for k, day in enumerate(days)}
+
+
 def _is_ssn(plain: str) -> bool:
     return plain[:3] not in ("000", "666") and plain[0] != "9" and plain[3:5] != "00" and plain[5:] != "0000"
 

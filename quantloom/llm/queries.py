@@ -11,8 +11,8 @@ from quantloom.llm.quality_rules import quality_rules
 from quantloom.llm.simhash import near_duplicates
 from quantloom.llm.suffix_dedup import dedup_substrings
 
-#: The key of the registered query; a deployment passes its own.
-PSEUDONYM_KEY = b"quantloom-demo-key"
+#: Setting that names the key of the pseudonyms; the key that stands here is for demonstration only.
+KEY_SETTING, DEMO_KEY = "spark.quantloom.pseudonym.key", "quantloom-demo-key"
 
 
 def op1_toxicity(spark, sf_dir):
@@ -28,11 +28,13 @@ def op3_decontaminate(spark, sf_dir):
 
 
 def op4_pseudonyms(spark, sf_dir):
-    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), PSEUDONYM_KEY, keep=["doc_id"])
+    key = spark.conf.get(KEY_SETTING, DEMO_KEY).encode()
+    return pseudonyms.pseudonymize(table(spark, sf_dir, "documents"), key, keep=["doc_id"])
 
 
 def op5_suffix_dedup(spark, sf_dir):
-    return dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    out = dedup_substrings(table(spark, sf_dir, "documents"), keep=["doc_id"], with_text=True)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.col("kept_text").alias("text"))
 
 
 def op6_line_dedup(spark, sf_dir):

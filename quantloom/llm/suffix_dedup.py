@@ -31,7 +31,7 @@ from pyspark.sql import types as T
 
 from quantloom.llm.anchors import anchors, context_hash
 from quantloom.llm.bwt import repeated
-from quantloom.llm.common import SLICE, durable, without
+from quantloom.llm.common import SLICE, doc_key, durable, without
 
 SPAN = 400
 DEPTH = 64
@@ -237,7 +237,8 @@ def dedup_substrings(
     docs: DataFrame, keep: list[str] | None = None, span: int = SPAN, meeting: int = MEETING, with_text: bool = False
 ) -> DataFrame:
     """Append n_bytes, n_removed, n_spans and kept_sha256; ``with_text`` also kept_bytes (binary: a cut
-    can fall inside a character) and removed (byte ranges of the input).
+    can fall inside a character), kept_text (without the bytes of such a character) and removed (byte
+    ranges of the input).
 
     A null text counts as an empty one; texts under SPAN bytes have nothing to remove; each of several
     equal rows counts as a place of its own, so all lose their repeats; a null doc_id is an id like any
@@ -250,9 +251,10 @@ def dedup_substrings(
         T.StructField("kept_sha256", T.StringType()),
     ]
     if with_text:
-        fields += [T.StructField("kept_bytes", T.BinaryType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType())))]
+        fields += [T.StructField("kept_bytes", T.BinaryType()), T.StructField("kept_text", T.StringType()), T.StructField("removed", T.ArrayType(T.ArrayType(T.IntegerType())))]
     kept = without(docs.select([F.col(f"`{c}`") for c in (docs.columns if keep is None else keep)]), [f.name for f in fields]).columns
-    keys = [F.coalesce(F.col("doc_id").cast("bigint"), F.lit(-1 << 63)).alias("__id"), F.xxhash64("text").alias("__th")]
+    # a document is known by hashes of its id, of any type, and of its text
+    keys = [F.xxhash64(doc_key()).alias("__id"), F.xxhash64("text").alias("__th")]
     found = repeats(docs.select(*keys, F.col("text").cast("binary").alias("text")), span, meeting)
     per_doc = found.groupBy("__id", "__th").agg(F.collect_list(F.struct("lo", "hi")).alias("__cut"))
     given = docs.select(*[F.col(f"`{c}`").alias(f"__c{i}") for i, c in enumerate(kept)], *keys, F.col("text").cast("binary").alias("__text"))
@@ -272,7 +274,7 @@ def dedup_substrings(
                     text = text or b""
                     left, runs = _cut(text, [(c["lo"], c["hi"]) for c in cut or []], span)
                     row = [len(text), len(text) - len(left), len(runs), hashlib.sha256(left).hexdigest()]
-                    rows.append(row + ([left, [list(r) for r in runs]] if with_text else []))
+                    rows.append(row + ([left, left.decode("utf-8", "ignore"), [list(r) for r in runs]] if with_text else []))
                 columns = [part.column(i) for i in range(n)]
                 columns += [pa.array(v, t) for v, t in zip(zip(*rows, strict=True), types, strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, names=out.names)

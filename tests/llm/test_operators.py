@@ -315,17 +315,36 @@ def test_suffix_dedup_counts_equal_rows(spark):
 
 
 def line_chunks(text):
+    """(first line, lines) of each chunk."""
     lines = text.split("\n")
     h = [int(hashlib.md5(x.encode()).hexdigest()[:8], 16) for x in lines]
     mark = [i > 0 and ((h[i - 1] * 31 + h[i]) % 2**32 >> 16) % line_dedup.EVERY == 0 for i in range(len(lines))]
     out, start = [], 0
     for i in range(len(lines)):
         if i == len(lines) - 1 or (mark[i] and not mark[i - 1] and i != len(lines) - 2):
-            out.append(lines[start : i + 1])
+            out.append((start, lines[start : i + 1]))
             start = i + 1
     return out
 
 
+def deduped(texts):
+    """Texts in the order of their ids -> texts without lines that repeat in chunks or neighbouring pairs."""
+    seen, out = set(), []
+    for t in texts:
+        if t is None:
+            out.append(None)
+            continue
+        lines, gone, told = t.split("\n"), set(), lambda x: bool(x.strip(" "))
+        units = [(at, c) for at, c in line_chunks(t) if len(c) > 1 and sum(map(told, c)) > 1]
+        units = [("c", at, c) for at, c in units] + [("p", i, lines[i : i + 2]) for i in range(len(lines) - 1) if told(lines[i]) and told(lines[i + 1])]
+        for kind, at, c in units:
+            if (kind, *c) in seen:
+                gone.update(range(at, at + len(c)))
+            seen.add((kind, *c))
+        out.append("\n".join(x for i, x in enumerate(lines) if i not in gone))
+    return out
+
+
 def test_line_dedup(spark):
     rng = random.Random(9)
     shared = [prose(rng, 6) for _ in range(30)]
@@ -335,26 +354,27 @@ def test_line_dedup(spark):
         a = rng.randrange(25)
         lines += shared[a : a + rng.randrange(12)] + ["", "  "][: rng.randrange(3)] + [prose(rng, 4) for _ in range(rng.randrange(4))]
         texts.append("\n".join(lines))
-    texts += [texts[0], "", None, "\n\n\n", "\n\n\n"]
+    texts += [texts[0], "", None, "\n\n\n", "\n\n\n", "x\nx\nx\nx"]
     rows = [(i, t, "en", "a") for i, t in enumerate(texts)]
     got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(docs_of(spark, rows)).collect()}
-    seen, want, gone = set(), {}, 0
+    want = deduped(texts)
+    assert got == dict(enumerate(want)) and sum(a != b for a, b in zip(texts, want, strict=True)) > 10
+    assert got[40] == "" and got[45] == "x" and "python" not in line_dedup.dedup_lines(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString().lower()
+    counts = {r["doc_id"]: r for r in line_dedup.dedup_lines(docs_of(spark, rows), report=True).collect()}
     for i, t in enumerate(texts):
-        if t is None:
-            want[i] = None
-            continue
-        kept = []
-        for c in line_chunks(t):
-            multi = len(c) > 1 and sum(bool(x.strip(" ")) for x in c) > 1
-            if multi and tuple(c) in seen:
-                gone += 1
-                continue
-            if multi:
-                seen.add(tuple(c))
-            kept += c
-        want[i] = "\n".join(kept)
-    assert got == want and gone > 10
-    assert got[40] == "" and "python" not in line_dedup.dedup_lines(docs_of(spark, rows))._jdf.queryExecution().executedPlan().toString().lower()
+        n = 0 if t is None else len(t.split("\n"))
+        assert counts[i]["n_lines"] == n and counts[i]["n_chunks"] == (0 if t is None else len(line_chunks(t)))
+        assert counts[i]["text"] == want[i] and counts[i]["n_removed"] >= 0
+
+
+def test_every_line_is_left_somewhere_and_passages_go_whole(spark):
+    rng = random.Random(12)
+    passage = [[prose(rng, 12) for _ in range(n)] for n in (2, 3, 4, 5, 8)]
+    texts = ["\n".join([prose(rng, 9) for _ in range(rng.randrange(1, 6))] + rng.choice(passage) + [prose(rng, 9) for _ in range(rng.randrange(1, 6))]) for _ in range(60)]
+    rows = [(f"d{i:03}", t) for i, t in enumerate(texts)]  # ids are texts
+    got = {r["doc_id"]: r["text"].split("\n") for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    left = Counter(x for lines in got.values() for x in lines)
+    assert {x for t in texts for x in t.split("\n")} == set(left) and set(left.values()) == {1}
 
 
 # mixing
@@ -557,10 +577,10 @@ def spread_limit(values):
 def test_limits_follow_the_group(spark):
     """What is far outside its own group goes, though the other group is full of it; a lone row leans on its language."""
     rng = random.Random(16)
-    wordy = lambda n: " ".join("x" * rng.randrange(n - 1, n + 2) for _ in range(60))
+    wordy = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randrange(n - 1, n + 2))) for _ in range(60))
     rows = [(i, wordy(5), "en", "short") for i in range(300)] + [(300 + i, wordy(12), "de", "long") for i in range(300)]
-    rows += [(900, wordy(12), "en", "short"), (901, wordy(5), "de", "long"), (902, wordy(5), "en", "rare"), (903, wordy(12), "en", "rare"), (904, wordy(5), None, None)]
+    rows += [(900, wordy(12), "en", "short"), (901, wordy(5), "de", "long"), (902, wordy(5), "en", "rare"), (904, wordy(5), None, None)]
     out = {r["doc_id"]: r for r in quality_rules.quality_rules(docs_of(spark, rows)).collect()}
     assert all(out[i]["kept"] for i in range(600))
     assert out[900]["broken"] == ["chars_per_word"] and out[901]["broken"] == ["chars_per_word_low"]
-    assert out[902]["kept"] and not out[903]["kept"]
+    assert out[902]["kept"] and out[904]["kept"]

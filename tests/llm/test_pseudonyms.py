@@ -1,5 +1,8 @@
 """Values without a digit or an @."""
 
+import random
+from datetime import date, timedelta
+
 from quantloom.llm import pseudonyms
 from tests.llm.test_operators import docs_of
 
@@ -10,3 +13,57 @@ def test_key_ids_without_a_digit(spark):
     out = {r["doc_id"]: r for r in pseudonyms.pseudonymize(docs_of(spark, rows), b"key").collect()}
     assert all(key not in r["text"] and "key=1" in r["kinds"] for r in out.values())
     assert all(pseudonyms.Vault(b"key").reveal(out[i]["text"]) == text for i, text, *_ in rows)
+
+
+def all_layouts(day):
+    y, m, d = f"{day.year:04d}", day.month, day.day
+    long = pseudonyms.MONTHS[m - 1]
+    for mm, dd in {(f"{m:02d}", f"{d:02d}"), (str(m), str(d)), (str(m), f"{d:02d}"), (f"{m:02d}", str(d))}:
+        for mark in "-/.":
+            yield mark.join((y, mm, dd))
+            yield mark.join((dd, mm, y))
+            if d > 12 or mark == "/":
+                yield mark.join((mm, dd, y))
+        for name in (long, long[:3]):
+            yield f"{dd} {name} {y}"
+            yield f"{name} {dd}, {y}"
+
+
+def test_dates_round_trip_in_every_layout_and_keep_their_width():
+    vault, rng = pseudonyms.Vault(b"key"), random.Random(3)
+    days = [date(1900, 1, 1) + timedelta(rng.randrange(73000)) for _ in range(150)] + [date(2020, 5, 13), date(2020, 5, 6), date(2020, 12, 12), date(2020, 2, 29)]
+    for day in days:
+        for text in all_layouts(day):
+            new, spans = vault.redact(f"on {text} then")
+            assert len(spans) == 1 and vault.reveal(new) == f"on {text} then", (text, new)
+            if text[0].isdigit() and " " not in text:
+                assert len(new) == len(f"on {text} then")
+
+
+def test_equal_dates_stay_linked_across_layouts():
+    vault = pseudonyms.Vault(b"key")
+    got = [vault.redact(x)[0] for x in ("2020-05-13", "05/13/2020", "13.05.2020", "13 May 2020")]
+    y, m, d = got[0].split("-")
+    assert got[1:] == [f"{m}/{d}/{y}", f"{d}.{m}.{y}", f"{d} May {y}"] and got[0] != "2020-05-13"
+
+
+def test_long_names_and_letter_groups_are_replaced_whole():
+    vault = pseudonyms.Vault(b"key")
+    name = "a" * 5000 + "b7" * 900
+    new, spans = vault.redact(f"write to {name}@mail.example now")
+    assert spans == [(9, 9 + len(name) + len("@mail.example"), "email")] and "a" * 30 not in new
+    assert vault.reveal(new) == f"write to {name}@mail.example now"
+    for bank in ("MU17 BOMM 0101 1010 3030 0200 000M UR", "SC18 SSCB 1101 0000 0000 0000 1497 USD"):
+        for text in (f"pay {bank} today", f"pay {bank}", f"pay {bank}\nthen"):
+            new, spans = vault.redact(text)
+            assert [k for *_, k in spans] == ["iban"] and vault.reveal(new) == text and bank not in new
+
+
+def test_windows_find_what_the_whole_text_has():
+    rng = random.Random(5)
+    parts = ["MU17 BOMM 0101 1010 3030 0200 000M UR", "AKIA" + "ABCDEFGH" * 2, "5 March 2020", "March 5, 2020", "x@y.z", "+1 (555) 123-4567", "12", "AB CD", "word", "UR", "\n", "1.2.3.4"]
+    for _ in range(300):
+        text = " ".join(rng.choice(parts) for _ in range(rng.randrange(1, 12)))
+        whole = [m.span() for m in pseudonyms._PATTERN.finditer(text)]
+        found = [m.span() for a, b in pseudonyms._windows(text) for m in pseudonyms._PATTERN.finditer(text, a, b)]
+        assert found == whole, text
