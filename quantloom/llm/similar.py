@@ -4,14 +4,17 @@ Texts at 5-word similarity 0.8 differ in about 10 of 64 SimHash bits, which no e
 reaches. So pairs come from two indexes, and exact shingle sets decide on all of them:
 
 1. the deletion variants of the texts' SimHash fingerprints (``simhash.links``), which find close copies;
-2. a signature of ``SIZE`` bytes, the low bytes of minima of the shingles under as many hash functions, of
-   which ``KEYS`` fixed choices of ``ROWS`` bytes are keys. At similarity 0.8 two texts share no key with a
-   chance of 4e-4 (simulated; 6e-5 at 0.82). A pair is compared if ``AGREE`` bytes agree, which a pair
-   at 0.8 misses with a chance of 4e-5.
-
-Hot keys: texts of equal words are one node. Each node is first compared with the least one of its keys, so
-that a group of close copies costs a pair a node; then only nodes of a key in different components are
-compared, by their signatures, and those that agree by their sets. No bucket is capped.
+2. a signature of ``SIZE`` bytes, taken from minima of the shingles under as many hash functions. In each of
+   ``ORDERS`` orders of its bytes the signatures are sorted, and neighbours (up to ``REACH`` places apart) that
+   begin with the same ``ROWS`` bytes are compared. Two texts at similarity 0.8 have no such beginning in
+   common with a chance of 4e-4 (6e-5 at 0.82; simulated). Pairs of which ``AGREE`` bytes agree, which a pair
+   at 0.8 misses with a chance of 4e-5, are compared by their sets.
+
+Hot groups: texts of equal words are one node, and a node has at most 2 * ORDERS * REACH neighbours, however
+many nodes begin alike: the more there are, the longer the beginning that neighbours share. Sorting splits a
+hot beginning over tasks. In a group of many different near copies a link can be missed if closer copies lie
+between in every order; so nodes that look alike but are still in different components go through as many
+orders again (``PASSES``). README has what that finds of all links.
 """
 
 from __future__ import annotations
@@ -30,11 +33,13 @@ from quantloom.llm.simhash import fingerprint_of, links as simhash_links, signed
 SEED = 42
 SHINGLE = 5
 SIMILARITY = 0.8
-SIZE, KEYS, ROWS, AGREE = 160, 48, 7, 108
+SIZE, ORDERS, ROWS, AGREE = 160, 48, 7, 108
+#: Bytes that order the signatures of one beginning, places that are compared, and passes over what is open.
+REST, REACH, PASSES = 8, 2, 2
 _RNG = np.random.default_rng(SEED)
 _TIMES = _RNG.integers(0, 1 << 64, SIZE, np.uint64, False) | np.uint64(1)
 _PLUS = _RNG.integers(0, 1 << 64, SIZE, np.uint64, False)
-_CHOSEN = np.stack([np.sort(_RNG.permutation(SIZE)[:ROWS]) for _ in range(KEYS)])
+_CHOSEN = np.stack([_RNG.permutation(SIZE)[: ROWS + REST] for _ in range(ORDERS * PASSES)])
 
 
 def word_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -65,25 +70,50 @@ def signature(hashes: np.ndarray) -> np.ndarray:
     return (low * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(56)).astype(np.uint8).view(np.int64)
 
 
-def _keyed(nodes: DataFrame) -> DataFrame:
-    """(node, sig) -> a row (key, node) for each of the node's keys."""
+def _placed(nodes: DataFrame, nth: int) -> DataFrame:
+    """(node, sig) -> a row (key, rest, node) for each order of the nth pass."""
 
     def run(batches):
-        slots = np.arange(KEYS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        chosen = _CHOSEN[nth * ORDERS : (nth + 1) * ORDERS]
+        slots = np.arange(ORDERS, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
         for batch in batches:
             node = batch.column(0).to_numpy()
             sig = batch.column(1).flatten().to_numpy().view(np.uint8).reshape(-1, SIZE)
             for at in range(0, len(node), 4096):
-                picked = sig[at : at + 4096][:, _CHOSEN].astype(np.uint64)
-                key = np.zeros(picked.shape[:2], np.uint64)
+                picked = sig[at : at + 4096][:, chosen].astype(np.uint64)
+                key, rest = np.zeros(picked.shape[:2], np.uint64), np.zeros(picked.shape[:2], np.uint64)
                 for j in range(ROWS):
                     key = key << np.uint64(8) | picked[:, :, j]
+                for j in range(ROWS, ROWS + REST):
+                    rest = rest << np.uint64(8) | picked[:, :, j]
                 key = (key + slots) * np.uint64(0x9E3779B97F4A7C15)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(node[at : at + 4096], KEYS))], names=["key", "node"]
-                )
+                columns = [key.ravel().view(np.int64), rest.ravel().view(np.int64), np.repeat(node[at : at + 4096], ORDERS)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "rest", "node"])
 
-    return nodes.select("node", "sig").where("size(sig) > 0").mapInArrow(run, "key bigint, node bigint")
+    return nodes.select("node", "sig").where("size(sig) > 0").mapInArrow(run, "key bigint, rest bigint, node bigint")
+
+
+def _neighbours(nodes: DataFrame, nth: int) -> DataFrame:
+    """Pairs (u, v) of nodes that stand within REACH places of each other in an order and begin alike.
+
+    The range partitioning splits a beginning that many nodes have; the two rows at such a cut aren't compared.
+    """
+
+    def run(batches):
+        held = [np.zeros(0, np.int64)] * 2
+        for batch in batches:
+            key, node = (np.concatenate((h, batch.column(c).to_numpy())) for h, c in zip(held, ("key", "node"), strict=True))
+            old, us, vs = len(held[0]), [], []
+            for w in range(1, REACH + 1):
+                later = np.flatnonzero(key[w:] == key[:-w]) + w
+                later = later[later >= old]
+                us.append(np.maximum(node[later], node[later - w]))
+                vs.append(np.minimum(node[later], node[later - w]))
+            held = [key[-REACH:], node[-REACH:]]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], names=["u", "v"])
+
+    ordered = _placed(nodes, nth).repartitionByRange("key", "rest").sortWithinPartitions("key", "rest", "node")
+    return ordered.mapInArrow(run, "u bigint, v bigint").where("u != v").distinct()
 
 
 def _agreeing(a: str, b: str):
@@ -166,28 +196,17 @@ def similar_documents(
 
 
 def _found(nodes: DataFrame, given: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Links (u, v) between nodes that connect all similar ones that the two indexes propose."""
-    # the signature's keys; one that a single node has proposes nothing
-    first = _keyed(nodes)
-    led = first.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("last")).where("leader < last")
-    members = durable(first.join(led.select("key", "leader"), "key"))
-
+    """Links (u, v) between nodes that connect the similar ones that the two indexes propose."""
+    worded = nodes.where("size(sig) > 0")
     # close copies: fingerprints at 2 or fewer differing bits, one node for each; and nodes of one fingerprint
-    by_fp = nodes.where("size(sig) > 0").groupBy("fp").agg(F.min("node").alias("least"))
+    by_fp = worded.groupBy("fp").agg(F.min("node").alias("least"))
     u, v = by_fp.select(F.col("fp").alias("u"), F.col("least").alias("__u")), by_fp.select(F.col("fp").alias("v"), F.col("least").alias("__v"))
-    close = simhash_links(by_fp.select("fp")).join(u, "u").join(v, "v").select(F.col("__u").alias("u"), F.col("__v").alias("v"))
-    same = nodes.where("size(sig) > 0").join(by_fp, "fp").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
-    start = members.where("node != leader").select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    start = start.unionByName(close).unionByName(same)
-    start = durable(start.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-
-    wanted = start.select(F.col("u").alias("node")).unionByName(start.select(F.col("v").alias("node"))).distinct()
-    wanted = durable(nodes.join(wanted, "node", "left_semi").select("node", "place", "sig"))
-    one = wanted.select(F.col("node").alias("v"), F.col("sig").alias("q"))
-    start = start.join(one, "v").join(wanted.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u")
-    start = durable(start.where(_agreeing("p", "q")).select("u", "v"))
-
-    texts = wanted.select("node", F.col("place.doc_id").alias("d2"), F.col("place.h").alias("h2"))
+    close = simhash_links(by_fp.select("fp")).join(u, "u").join(v, "v").select(F.greatest("__u", "__v").alias("u"), F.least("__u", "__v").alias("v"))
+    same = worded.join(by_fp, "fp").where("node != least").select(F.col("node").alias("u"), F.col("least").alias("v"))
+
+    alike = _alike(_neighbours(worded, 0).unionByName(close).unionByName(same).distinct(), nodes)
+    wanted = alike.select(F.col("u").alias("node")).unionByName(alike.select(F.col("v").alias("node"))).distinct()
+    texts = nodes.join(wanted, "node", "left_semi").select("node", F.col("place.doc_id").alias("d2"), F.col("place.h").alias("h2"))
     texts = given.select("doc_id", "h", "text").join(texts, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("h") == F.col("h2")))
 
     def listed():
@@ -196,14 +215,19 @@ def _found(nodes: DataFrame, given: DataFrame, shingle: int, similarity: float)
     # a document in several rows gives its set once
     sets = map_bytes(texts, [T.StructField("s", T.ArrayType(T.LongType()))], listed, keep=["node"])
     sets = durable(sets.groupBy("node").agg(F.first("s").alias("s")))
-    found = durable(_verified(start, sets, similarity))
-
-    # nodes of one key in different components: compared by their signatures, then by their sets
-    left = _rooted(members, found)
-    several = left.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("top")).where("low < top").select("key")
-    left = durable(left.join(several, "key", "left_semi").select("key", "node", "leader", "root").join(wanted.select("node", "sig"), "node"))
-    other = left.select("key", F.col("node").alias("v"), F.col("root").alias("to"), F.col("sig").alias("q"))
-    new = (F.col("node") > F.col("v")) & (F.col("v") != F.col("leader")) & (F.col("root") != F.col("to"))
-    more = left.join(other, "key").where(new & _agreeing("sig", "q"))
-    more = durable(more.select(F.col("node").alias("u"), "v").distinct())
-    return durable(found.unionByName(_verified(more, sets, similarity)))
+    found = durable(_verified(alike, sets, similarity))
+    for nth in range(1, PASSES):
+        roots = components(found)
+        to = lambda c: F.coalesce(F.col(f"r{c}"), F.col(c))
+        parted = alike.join(roots.toDF("u", "ru"), "u", "left").join(roots.toDF("v", "rv"), "v", "left").where(to("u") != to("v"))
+        open_ = durable(parted.select(F.explode(F.array("u", "v")).alias("node")).distinct())
+        alike = _alike(_neighbours(nodes.join(open_, "node", "left_semi"), nth), nodes)
+        found = durable(found.unionByName(_verified(alike, sets, similarity)))
+    return found
+
+
+def _alike(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The pairs whose signatures agree."""
+    one = nodes.select(F.col("node").alias("v"), F.col("sig").alias("q"))
+    both = pairs.join(one, "v").join(nodes.select(F.col("node").alias("u"), F.col("sig").alias("p")), "u")
+    return durable(both.where(_agreeing("p", "q")).select("u", "v"))
