@@ -9,9 +9,10 @@ from quantloom.operators import digest as D
 from quantloom.operators import evaluate as E
 from quantloom.operators import explore as X
 from quantloom.operators import factors as FX
+from quantloom.operators import rounds as R
 from quantloom.operators import trading as TR
 from quantloom.operators import validate as V
-from quantloom.session import session
+from quantloom.session import checkpointed, session
 from quantloom.sources import feeds
 from quantloom.sources import store as ST
 
@@ -24,7 +25,7 @@ def _channel(spark, job):
 def factors(spark, a) -> int:
     """Raw channel-days -> interchange CSV with a manifest; finished ones are skipped."""
     names = a.factors.split(",") if a.factors else FX.DEFAULT
-    for job in ST.jobs(a.raw, ST.expand_dates(a.dates)):
+    for job in ST.jobs(ST.roots(a.raw), ST.expand_dates(a.dates)):
         out = f"{a.out}/{job['date']}/{job['exchange']}_{job['channel']}"
         import os
 
@@ -32,7 +33,7 @@ def factors(spark, a) -> int:
         if not a.force and ST.is_done(f"{out}.json", want):
             continue
         ticks, snaps = _channel(spark, job)
-        rows = FX.engine(ticks, snaps, names, tuple(a.horizons), a.allow_canary)
+        rows = FX.engine(ticks, snaps, names, tuple(a.horizons), a.allow_canary, a.gap_per_instrument, not a.any_block)
         ST.write_interchange(rows, out)
         ST.write_json(want | {"rows": ST.read_interchange(spark, out, rows.columns).count()}, f"{out}.json")
     return 0
@@ -41,7 +42,7 @@ def factors(spark, a) -> int:
 def convert(spark, a) -> int:
     """Interchange CSV -> day partitions of parquet."""
     rows = None
-    for job in ST.jobs(a.raw, ST.expand_dates(a.dates)):
+    for job in ST.jobs(ST.roots(a.raw), ST.expand_dates(a.dates)):
         path = f"{a.out}/{job['date']}/{job['exchange']}_{job['channel']}"
         names = feeds.header(spark, path)
         part = ST.read_interchange(spark, path, names)
@@ -73,7 +74,7 @@ def evaluate(spark, a) -> int:
 def mask(spark, a) -> int:
     ok = True
     found = []
-    for job in ST.jobs(a.raw, ST.expand_dates(a.dates)):
+    for job in ST.jobs(ST.roots(a.raw), ST.expand_dates(a.dates)):
         ticks, snaps = _channel(spark, job)
         labels = [f"fwd_{k}_ret_{h}s" for h in a.horizons for k in ("mid", "last")]
         run = lambda t, s: FX.engine(t, s, FX.DEFAULT, tuple(a.horizons))
@@ -89,7 +90,9 @@ def mask(spark, a) -> int:
 
 def backtest(spark, a) -> int:
     panel = _panel(spark, a)
-    per_day = TR.run_scenarios(panel, a.factor, a.horizon, TR.Rule(direction=a.direction, max_units=a.units))
+    models = ST.load_costs(a.fees)[0] if a.fees else None
+    metas = ST.load_instruments(a.settlement, ST.read_json(a.categories, {})) if a.settlement else None
+    per_day = checkpointed(TR.run_scenarios(panel, a.factor, a.horizon, TR.Rule(direction=a.direction, max_units=a.units), models, metas))
     total = TR.summary(per_day)
     ST.write_json({"summary": ST.frame_rows(total), "gate": ST.frame_rows(TR.cost_gate(total)), "equity": ST.frame_rows(TR.equity(per_day, ("scenario",)))}, f"{a.report}/backtest.json")
     ST.write_csv_report(per_day, f"{a.report}/per_day")
@@ -118,13 +121,17 @@ def explore(spark, a) -> int:
     folds = E.day_splits([r[0] for r in panel.select("date").distinct().collect()], a.test_days)
     got = X.screen(out, names, a.horizons, folds, ST.Ledger(spark, f"{a.report}/ledger"))
     fails = X.classify_failures(got["stage1"], got["stage2"])
-    report = {k: ST.frame_rows(v) for k, v in got.items()} | {"failures": ST.frame_rows(fails), "deaths": ST.frame_rows(X.death_map(fails))}
+    report = {k: ST.frame_rows(v) for k, v in got.items()} | {"failures": ST.frame_rows(fails)}
     if a.action == "round":
-        pairs = [(r["a"], r["b"], r["rho"]) for r in E.pairwise_spearman(out, names).collect()]
-        best = got["is"].groupBy("factor").agg({"t_stat_nw": "max"}).collect()
-        alive, dropped = X.dedup_winners({r[0]: r[1] or 0.0 for r in best}, pairs)
-        admitted = got["stage1"].join(fails.where("admitted"), ["factor", "horizon_s"]).where(got["stage1"]["factor"].isin(alive))
-        report |= {"dropped": dropped, "candidates": X.archive(admitted, [])}
+        library = ST.read_json(a.library, {})
+        old = sorted(R.library_names(library, a.round) & set(out.columns))
+        pairs = E.pairwise_spearman(out, [*names, *(n for n in old if n not in names)])
+        families = spark.createDataFrame([(n, f) for n, f in ST.families(a.manifests).items()] or [(n, "?") for n in names], "factor string, family string")
+        none = spark.createDataFrame([], "factor string")
+        entry = R.round_entry(R.screened(got["is"], got["stage1"], got["stage2"]), pairs, families, none, library, a.round)
+        ST.write_json(R.merged(library, a.round, entry), a.library)
+        ST.write_text(R.markdown(a.round, entry), f"{a.report}/{a.round}.md")
+        report |= {"entry": entry}
     ST.write_json(report, f"{a.report}/{a.action}.json")
     return 0
 
@@ -155,6 +162,14 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--perms", type=int, default=0)
     p.add_argument("--cuts", type=int, default=4)
     p.add_argument("--specs", nargs="*", default=[])
+    p.add_argument("--manifests", nargs="*", default=[], help="round: JSON lists of the round's factors, one file a family")
+    p.add_argument("--library", default="candidates.json", help="round: the library that the round is merged into")
+    p.add_argument("--round", default="round1", help="round: key of the round's entry")
+    p.add_argument("--fees", default="", help="backtest: fee table")
+    p.add_argument("--settlement", default="", help="backtest: settlement and mechanics")
+    p.add_argument("--categories", default="", help="backtest: JSON of each instrument's category")
+    p.add_argument("--any-block", action="store_true", help="factors: labels may resolve across a break")
+    p.add_argument("--gap-per-instrument", action="store_true", help="factors: a sequence gap marks each instrument's next row")
     p.add_argument("--matrix", action="store_true")
     p.add_argument("--force", action="store_true")
     p.add_argument("--allow-canary", action="store_true")

@@ -7,9 +7,11 @@ or when it crosses, and ignores events until the next snapshot. Integer arithmet
 
 from __future__ import annotations
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quantloom.operators.merge import SERIES
 
@@ -85,39 +87,54 @@ def flow(old: tuple[int, int, int, int], new: tuple[int, int, int, int]) -> int:
     return bid - ask
 
 
-def replay(log: pd.DataFrame) -> pd.DataFrame:
-    """One instrument-day in merge order -> per event: flow, sum of the quantities at the touch, sync state."""
-    log = log.sort_values(["at", "kind", "n"], kind="stable")
+#: What the replay adds to each row of the log.
+ADDED = {"flow": "bigint", "touch_qty": "bigint", "unsynced": "boolean", "resyncs": "int"}
+
+
+def _levels(log: pa.Table, column: str) -> tuple[list[int], list[int], list[int]]:
+    """Prices and volumes of all rows' levels in one list each, and where each row's levels end."""
+    arrays = log.column(column).combine_chunks()
+    flat = arrays.flatten()
+    ends = np.cumsum(pc.fill_null(arrays.value_lengths(), 0).to_numpy(zero_copy_only=False))
+    return flat.field("price").to_pylist(), flat.field("volume").to_pylist(), ends.tolist()
+
+
+def replay(log: pa.Table) -> pa.Table:
+    """One instrument-day in any order -> its rows in merge order with flow, the sum of the quantities at the
+    touch where it changed, whether sync was lost before the row, and the resyncs so far."""
+    log = log.sort_by([("at", "ascending"), ("kind", "ascending"), ("n", "ascending")])
+    bids, asks = _levels(log, "bids"), _levels(log, "asks")
+    columns = [log.column(c).to_pylist() for c in ("kind", "in_session", "is_trade", "side", "price", "volume", "is_cancel")]
     book, quote = Book(), None
-    out = []
-    for r in log.itertuples(index=False):
+    found: dict[str, list] = {c: [] for c in ADDED}
+    for i, (kind, live, trade, side, price, volume, cancel) in enumerate(zip(*columns, strict=True)):
         e = q = None
-        lost = book.anchored and not book.synced
-        if r.kind == 1:
-            book.anchor([(x["price"], x["volume"]) for x in r.bids], [(x["price"], x["volume"]) for x in r.asks])
+        found["unsynced"].append(book.anchored and not book.synced)
+        if kind == 1:
+            sides = [list(zip(p[ends[i - 1] if i else 0 : ends[i]], v[ends[i - 1] if i else 0 : ends[i]], strict=True)) for p, v, ends in (bids, asks)]
+            book.anchor(*sides)
             quote = book.touch()
-        elif r.in_session:
-            if r.is_trade:
-                book.trade(int(r.side), int(r.price), int(r.volume))
+        elif live:
+            if trade:
+                book.trade(side, price, volume)
             else:
-                book.order(int(r.side), int(r.price), int(r.volume), bool(r.is_cancel))
+                book.order(side, price, volume, cancel)
             new = book.touch()
             if new is not None:
                 if quote is not None and new != quote:
                     e, q = flow(quote, new), new[1] + new[3]
                 quote = new
-        out.append((r.at, r.kind, r.n, e, q, lost, book.resyncs))
-    found = pd.DataFrame(out, columns=["at", "kind", "n", "flow", "touch_qty", "unsynced", "resyncs"])
-    for k in SERIES:
-        found[k] = log[k].iloc[0]
-    return found
-
-
-REPLAYED = "at long, kind int, n long, flow double, touch_qty double, unsynced boolean, resyncs int, date string, exchange string, instrument string"
+        found["flow"].append(e)
+        found["touch_qty"].append(q)
+        found["resyncs"].append(book.resyncs)
+    for c, kind in zip(ADDED, (pa.int64(), pa.int64(), pa.bool_(), pa.int32()), strict=True):
+        log = log.append_column(c, pa.array(found[c], kind))
+    return log
 
 
 def with_book(log: DataFrame) -> DataFrame:
-    """Event log with flow, touch_qty, unsynced (before the row's snapshot re-anchors) and resyncs."""
-    need = [*SERIES, "at", "kind", "n", "bids", "asks", "is_trade", "side", "price", "volume", "is_cancel", "in_session"]
-    state = log.select(*need).groupBy(*SERIES).applyInPandas(replay, REPLAYED)
-    return log.join(state, [*SERIES, "at", "kind", "n"]).withColumns({c: F.col(c).cast("long") for c in ("flow", "touch_qty")})
+    """Event log with flow, touch_qty, unsynced (before the row's snapshot re-anchors) and resyncs. The rows pass
+    through the map as Arrow columns, so nothing is joined back."""
+    added = T._parse_datatype_string(", ".join(f"{c} {k}" for c, k in ADDED.items()))
+    log = log.select([c for c in log.columns if c not in ADDED])
+    return log.groupBy(*SERIES).applyInArrow(replay, T.StructType([*log.schema.fields, *added.fields]))

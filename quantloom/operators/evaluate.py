@@ -242,6 +242,17 @@ def stride_sample(df: DataFrame, keys: Sequence[str], order: Sequence[str], limi
     return df.where((F.col("__n") <= limit) | (slot == F.col("__i"))).drop("__i", "__n")
 
 
+def day_stride(df: DataFrame, limit: int, day: str = "date", order: Sequence[str] = ("instrument", "ts_ms")) -> DataFrame:
+    """At most ``limit`` rows of all, evenly spaced in the order of days, with both ends. Rows are numbered within
+    their day, from where the days before it end; only the days' counts are ordered as a whole."""
+    days = df.groupBy(day).agg(F.count("*").alias("__rows"))
+    days = days.withColumn("__before", F.sum("__rows").over(Window.orderBy(day)) - F.col("__rows")).withColumn("__n", F.sum("__rows").over(Window.partitionBy()))
+    df = df.join(F.broadcast(days.drop("__rows")), day)
+    df = df.withColumn("__i", F.col("__before") + F.row_number().over(Window.partitionBy(day).orderBy(*order)) - 1)
+    slot = F.rint(F.rint(F.col("__i") * (limit - 1) / (F.col("__n") - 1)) * (F.col("__n") - 1) / (limit - 1))
+    return df.where((F.col("__n") <= limit) | (slot == F.col("__i"))).drop("__before", "__n", "__i")
+
+
 def pairwise_spearman(panel: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
     """Rank correlation of every pair of columns over their common rows: (a, b, rho, n).
 

@@ -123,7 +123,7 @@ def screen(panel: DataFrame, names: Sequence[str], horizons: Sequence[int], fold
     """Gates of ``evaluate`` for prototypes, and their rank correlation with the library's factors."""
     out = E.fit_gate(panel, names, horizons, folds, ledger, config)
     if library:
-        part = E.stride_sample(panel.withColumn("__one", F.lit(1)), ["__one"], ["date", "instrument", "ts_ms"], sample) if sample else panel
+        part = E.day_stride(panel, sample) if sample else panel
         out["library"] = E.pairwise_spearman(part, [*names, *library]).where(F.col("a").isin(list(names)) & F.col("b").isin(list(library)))
     return out
 
@@ -132,7 +132,7 @@ FAILS = ["t_below_hurdle", "ic_below_floor", "sign_flip", "retention", "win_rate
 
 
 def classify_failures(stage1: DataFrame, stage2: DataFrame) -> DataFrame:
-    """factor, horizon_s -> the modes in which it failed (none: it passed)."""
+    """factor, horizon_s -> the gates at which it failed (none: it passed)."""
     d = stage1.select("factor", "horizon_s", "t_stat_nw", "t_hurdle_min", "mean_ic", "passed").join(
         stage2.select("factor", "horizon_s", "sign_ok", "retention_ok", "win_rate_ok", "level_ok", F.col("passed").alias("oos_passed")), ["factor", "horizon_s"]
     )
@@ -143,35 +143,3 @@ def classify_failures(stage1: DataFrame, stage2: DataFrame) -> DataFrame:
         )
     )
     return d.select("factor", "horizon_s", modes.alias("modes"), (F.col("passed") & F.col("oos_passed")).alias("admitted"))
-
-
-def death_map(failures: DataFrame) -> DataFrame:
-    """mode -> how many, and which factors."""
-    return failures.select("factor", F.explode("modes").alias("mode")).groupBy("mode").agg(F.count("*").alias("n"), F.sort_array(F.collect_set("factor")).alias("factors"))
-
-
-def dedup_winners(strength: dict[str, float], pairs: list[tuple[str, str, float]], library: Sequence[str] = (), least: float = 0.999, edge: float = 1.2) -> tuple[list[str], list[dict]]:
-    """Of nearly identical factors one stays: the library's, unless the other is over 20 % stronger, else
-    the one with the larger |t|."""
-    alive, dropped, held = dict(strength), [], set(library)
-    for a, b, rho in sorted(pairs, key=lambda p: (-abs(p[2] or 0), p[0], p[1])):
-        if rho is None or abs(rho) < least or a not in alive or b not in alive:
-            continue
-        ta, tb = abs(strength[a]), abs(strength[b])
-        if (a in held) != (b in held):
-            old, new = (a, b) if a in held else (b, a)
-            loser = old if abs(strength[new]) > edge * abs(strength[old]) else new
-        else:
-            loser = min(((ta, b, a), (tb, a, b)))[2] if ta != tb else max(a, b)
-        del alive[loser]
-        dropped.append({"dropped": loser, "kept": b if loser == a else a, "rho": rho})
-    return sorted(alive), dropped
-
-
-def archive(admitted: DataFrame, previous: list[dict], top: int = 8) -> list[dict]:
-    """The round's strongest admitted factors, merged into the candidates before without losing any."""
-    best = admitted.orderBy(F.abs("t_stat_nw").desc(), "factor", "horizon_s").limit(top)
-    merged = {(r["factor"], r["horizon_s"]): r for r in previous}
-    for r in best.collect():
-        merged[(r["factor"], r["horizon_s"])] = merged.get((r["factor"], r["horizon_s"]), {}) | r.asDict()
-    return [merged[k] for k in sorted(merged)]

@@ -192,7 +192,8 @@ def _largest(signed: bool) -> Column:
     ordered = F.array_sort(F.collect_list(item).over(_win(60_000)))
     top = F.slice(ordered, F.lit(1), F.ceil(F.size(ordered) / 10.0).cast("int"))
     part = F.aggregate(top, F.lit(0).cast("bigint"), lambda acc, x: acc - x["v"] * (x["s"] if signed else F.lit(1)))
-    return F.when(_warm(_trade(), 60_000) & (F.size(ordered) > 0), ratio(part, _total(F.col("volume"), _trade(), 60_000)))
+    # the window is sorted at snapshot rows only, the others aren't given out
+    return F.when((F.col("kind") == 1) & _warm(_trade(), 60_000) & (F.size(ordered) > 0), ratio(part, _total(F.col("volume"), _trade(), 60_000)))
 
 
 def _trade_gap() -> Column:

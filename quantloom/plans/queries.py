@@ -16,9 +16,10 @@ from quantloom.functions import scalar as S
 from quantloom.functions.windows import Frame, with_forward
 from quantloom.operators import book, digest, explore, factors, merge, trading, validate
 from quantloom.operators import evaluate as E
+from quantloom.operators import rounds
 from quantloom.operators.labels import with_labels
 from quantloom.plans import market
-from quantloom.session import checkpointed
+from quantloom.session import checkpointed, shared_folder
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -273,7 +274,43 @@ def flow_factors(spark, sf_dir):
     return rounded(out.where("kind = 1").select("date", "instrument", "ts_ms", *_FLOW_FACTORS))
 
 
-@query()
+def _imbalance_sql(seconds: int) -> str:
+    w = f"PARTITION BY date, instrument ORDER BY eff RANGE BETWEEN {seconds}000 PRECEDING AND CURRENT ROW"
+    total = lambda side: f"coalesce(sum(volume) FILTER (kind = 0 AND is_trade AND side {side} 0) OVER ({w}), 0)"
+    return f"{total('>')} AS b{seconds}, {total('<')} AS s{seconds}"
+
+
+@query(
+    f"""{_LOG}, im AS (SELECT *, {_imbalance_sql(30)}, {_imbalance_sql(15)}, ts_ms - min(eff) FILTER (kind = 0 AND is_trade) OVER (PARTITION BY date, instrument ORDER BY eff RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS age FROM ef)
+SELECT date, instrument, ts_ms, {", ".join(_r(f"CASE WHEN age >= {k}000 THEN (b{k} - s{k}) / CAST(nullif(b{k} + s{k}, 0) AS DOUBLE) END") + f" AS trade_imbalance_{k}s" for k in (30, 15))} FROM im WHERE kind = 1"""
+)
+def short_trade_imbalances(spark, sf_dir):
+    names = ["trade_imbalance_30s", "trade_imbalance_15s"]
+    out = _log(spark, sf_dir).select("*", *[factors.REGISTRY[n].column().cast("double").alias(n) for n in names])
+    return rounded(out.where("kind = 1").select("date", "instrument", "ts_ms", *names))
+
+
+@query(
+    f"""
+WITH s AS (SELECT *, px / 1000e0 AS mid, px + event_id % 7 - 3 AS iv FROM ({_DUCK}) WHERE event_type = 'view'),
+a AS (SELECT *, min(ts_ms) OVER w AS t0, arg_min(iv, ts_ms) OVER w AS v0, arg_min(mid, ts_ms) OVER (PARTITION BY date, instrument ORDER BY ts_ms RANGE BETWEEN 15000 FOLLOWING AND UNBOUNDED FOLLOWING) AS m15
+      FROM s WINDOW w AS (PARTITION BY date, instrument ORDER BY ts_ms RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW))
+SELECT date, instrument, ts_ms, {_r("CASE WHEN ts_ms - t0 >= 30000 THEN (iv - v0) / CAST(v0 AS DOUBLE) / ((ts_ms - t0) / 1000e0) * 1e6 END")} AS iopv_velocity_ppm, {_r("m15")} AS future_mid_15s FROM a"""
+)
+def index_value_velocity(spark, sf_dir):
+    out = factors.snapshot_factors(market.snapshots(spark, sf_dir), ["iopv_velocity", "future_mid_15s"])
+    return rounded(out.select("date", "instrument", "ts_ms", (F.col("iopv_velocity") * 1e6).alias("iopv_velocity_ppm"), "future_mid_15s"))
+
+
+@query(
+    f"""{_LOG},
+wl AS (SELECT date, instrument, ts_ms, kind, ts_ms - min(eff) FILTER (kind = 0 AND is_trade) OVER (PARTITION BY date, instrument ORDER BY eff RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) >= 60000 AS warm,
+              list({{'v': -volume, 'a': ab, 'n': n, 's': side}}) FILTER (kind = 0 AND is_trade) OVER (PARTITION BY date, instrument ORDER BY eff RANGE BETWEEN 60000 PRECEDING AND CURRENT ROW) AS t FROM ef),
+ws AS (SELECT *, list_sort(t) AS o FROM wl WHERE kind = 1),
+wt AS (SELECT *, o[1:CAST(ceil(len(o) / 10e0) AS INT)] AS top, list_sum([-x.v FOR x IN o]) AS total FROM ws)
+SELECT date, instrument, ts_ms, {_r("CASE WHEN warm AND len(o) > 0 THEN list_sum([-x.v FOR x IN top]) / CAST(nullif(total, 0) AS DOUBLE) END")} AS large_trade_share_60s,
+       {_r("CASE WHEN warm AND len(o) > 0 THEN list_sum([-x.v * x.s FOR x IN top]) / CAST(nullif(total, 0) AS DOUBLE) END")} AS large_trade_net_share_60s FROM wt"""
+)
 def large_trade_shares(spark, sf_dir):
     names = ["large_trade_share_60s", "large_trade_net_share_60s"]
     out = _log(spark, sf_dir).select("*", *[factors.REGISTRY[n].column().cast("double").alias(n) for n in names])
@@ -310,7 +347,16 @@ def canary_trade_sign(spark, sf_dir):
     return out.where("kind = 1").select("date", "instrument", "ts_ms", "future_trade_sign")
 
 
-@query()
+@query(
+    f"""
+WITH p AS ({market.PANEL_SQL.replace("AS STRING", "AS VARCHAR")}),
+r AS (SELECT instrument, date, ts_ms, mid_px > 0 AS valid, CASE WHEN mid_px > 0 AND lag(mid_px) OVER w > 0 THEN (mid_px - lag(mid_px) OVER w) / lag(mid_px) OVER w END AS r,
+             min(CASE WHEN mid_px > 0 THEN ts_ms END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS since FROM p WINDOW w AS (PARTITION BY instrument, date ORDER BY ts_ms)),
+q AS (SELECT *, coalesce(r * r, 0) AS sq, CAST(r IS NOT NULL AS INT) AS one FROM r),
+t AS (SELECT *, {", ".join(f"sum(sq) OVER w{k} - first_value(sq) OVER w{k} AS t{k}, sum(one) OVER w{k} - first_value(one) OVER w{k} AS c{k}" for k in (60, 300))}
+      FROM q WINDOW {", ".join(f"w{k} AS (PARTITION BY instrument, date ORDER BY ts_ms RANGE BETWEEN {k}000 PRECEDING AND CURRENT ROW)" for k in (60, 300))})
+SELECT instrument, ts_ms, {", ".join(_r(f"CASE WHEN valid AND ts_ms - since >= {k}000 AND c{k} >= 0.8 * {k} / 3 THEN sqrt(greatest(t{k}, 0)) END") + f" AS rv_{k}s" for k in (60, 300))} FROM t"""
+)
 def realised_volatility(spark, sf_dir):
     rows = _long_panel(spark, sf_dir).withColumn("valid", F.col("mid_px") > 0)
     frame = Frame()
@@ -501,10 +547,97 @@ def outcome_taxonomy(spark, sf_dir):
     return out.withColumn("reasons", F.concat_ws(",", "reasons"))
 
 
-@query()
+@query(
+    f"""{_NW},
+g AS (SELECT * FROM (VALUES ('oir', 'book'), ('wdi', 'book'), ('ofi_60s', 'flow'), ('trade_imbalance_60s', 'flow'), ('rv_60s', 'risk')) AS g(factor, dimension)),
+d AS (SELECT g.dimension, g.factor, st.horizon_s, st.mean_ic FROM g LEFT JOIN st ON st.factor = g.factor AND st.horizon_s IN (15, 60)),
+w AS (SELECT dimension, horizon_s, row_number() OVER (PARTITION BY dimension ORDER BY avg(abs(mean_ic)), horizon_s) AS k FROM d WHERE horizon_s IS NOT NULL GROUP BY 1, 2)
+SELECT d.dimension, count(DISTINCT d.factor) AS n_factors, count(DISTINCT CASE WHEN d.mean_ic IS NOT NULL THEN d.factor END) AS n_covered, CAST(any_value(w.horizon_s) AS DOUBLE) AS weakest_horizon_s
+FROM d LEFT JOIN w ON w.dimension = d.dimension AND w.k = 1 GROUP BY 1"""
+)
 def factor_coverage(spark, sf_dir):
     stats = E.ic_stats(E.rank_ic_series(labelled(spark, sf_dir), _FACTORS, (15, 60)))
-    return digest.coverage(stats, {"oir": "book", "wdi": "book", "ofi_60s": "flow", "trade_imbalance_60s": "flow", "rv_60s": "risk"}, (15, 60))
+    return digest.coverage(stats, {"oir": "book", "wdi": "book", "ofi_60s": "flow", "trade_imbalance_60s": "flow", "rv_60s": "risk"}, (15, 60)).withColumn("weakest_horizon_s", F.col("weakest_horizon_s").cast("double"))
+
+
+# A round of research: suppliers stand for factors, line numbers for horizons, nations for families.
+
+_ROUND = """
+WITH sc AS (SELECT 's' || CAST(l_suppkey AS VARCHAR) AS factor, CAST(l_linenumber AS INT) AS horizon_s, CAST(sum(l_orderkey) % 900 AS DOUBLE) / 100 - 4.5 AS is_t, CAST(sum(l_partkey) % 900 AS DOUBLE) / 100 - 4.5 AS oos_t,
+                   CAST(sum(l_orderkey + l_partkey) % 200 AS DOUBLE) / 100 - 0.5 AS retention FROM lineitem GROUP BY l_suppkey, l_linenumber),
+r AS (SELECT *, abs(is_t) >= 4 AND abs(oos_t) >= 4 AND retention >= 0.5 AS passed FROM sc),
+st AS (SELECT factor, count(*) FILTER (passed) AS n_passed, coalesce(arg_max(oos_t, (abs(oos_t), -horizon_s)) FILTER (passed), 0) AS oos_t FROM r GROUP BY 1),
+pr AS (SELECT 's' || CAST(s_suppkey AS VARCHAR) AS a, 's' || CAST(s_suppkey + k AS VARCHAR) AS b, (1 - CAST((s_suppkey * 31 + k * 17) % 400 AS DOUBLE) / 1000) * CASE WHEN s_suppkey % 11 = 0 THEN -1 ELSE 1 END AS rho
+       FROM supplier, (VALUES (1), (2), (3)) AS v(k)),
+pt AS (SELECT pr.*, CAST(substr(a, 2) AS INT) % 7 = 0 AS olda, CAST(substr(b, 2) AS INT) % 7 = 0 AS oldb, rho >= 0.999 AS same, coalesce(abs(x.oos_t), 0) AS ta, coalesce(abs(y.oos_t), 0) AS tb, coalesce(x.n_passed, 0) AS na, coalesce(y.n_passed, 0) AS nb
+       FROM pr LEFT JOIN st x ON x.factor = a LEFT JOIN st y ON y.factor = b WHERE abs(rho) >= 0.85),
+jd AS (SELECT *, CASE WHEN same AND olda AND tb <= 1.2::DOUBLE * ta THEN true WHEN same AND oldb AND ta <= 1.2::DOUBLE * tb THEN false ELSE ta > tb OR (ta = tb AND (same OR na >= nb)) END AS keeps_a FROM pt)"""
+
+
+def _round(spark, sf_dir) -> dict[str, DataFrame]:
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    name = lambda c: F.concat(F.lit("s"), F.col(c).cast("string"))
+    part = lambda c, m, less: F.pmod(F.sum(c), F.lit(m)).cast("double") / 100 - less
+    r = li.groupBy(name("l_suppkey").alias("factor"), F.col("l_linenumber").cast("int").alias("horizon_s")).agg(
+        part("l_orderkey", 900, 4.5).alias("is_t"), part("l_partkey", 900, 4.5).alias("oos_t"), part(F.col("l_orderkey") + F.col("l_partkey"), 200, 0.5).alias("retention")
+    )
+    r = r.withColumn("passed", (F.abs("is_t") >= 4) & (F.abs("oos_t") >= 4) & (F.col("retention") >= 0.5))
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").select("s_suppkey", "s_nationkey", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("k"))
+    rho = (1 - F.pmod(F.col("s_suppkey") * 31 + F.col("k") * 17, F.lit(400)).cast("double") / 1000) * F.when(F.col("s_suppkey") % 11 == 0, -1).otherwise(1)
+    pairs = s.withColumn("__b", F.col("s_suppkey") + F.col("k")).select(name("s_suppkey").alias("a"), name("__b").alias("b"), rho.alias("rho"))
+    library = s.select(F.explode(F.array("s_suppkey", F.col("s_suppkey") + F.col("k"))).alias("n")).where("n % 7 = 0").select(name("n").alias("factor")).distinct()
+    families = s.select(name("s_suppkey").alias("factor"), F.concat(F.lit("F"), F.col("s_nationkey").cast("string")).alias("family")).distinct()
+    return {"screened": r, "pairs": pairs, "library": library, "families": families}
+
+
+@query(f"{_ROUND} SELECT CASE WHEN keeps_a THEN b ELSE a END AS loser, CASE WHEN keeps_a THEN a ELSE b END AS winner, {_r('rho')} AS rho, same FROM jd")
+def round_near_duplicates(spark, sf_dir):
+    x = _round(spark, sf_dir)
+    return rounded(rounds.near_duplicates(x["pairs"], rounds.strengths(x["screened"]), x["library"]))
+
+
+_FAILED = f"""{_ROUND},
+fc AS (SELECT factor, bool_or(passed) AS p, bool_or(abs(is_t) >= 2 AND abs(oos_t) >= 2 AND retention < 0.5) AS f, bool_or(abs(is_t) >= 2 AND abs(oos_t) < 2) AS c FROM r GROUP BY 1),
+fm AS (SELECT factor, CASE WHEN CAST(substr(factor, 2) AS INT) % 13 = 0 THEN 'panel_duplicate' WHEN f THEN 'retention_or_sign' WHEN c THEN 'oos_collapse' ELSE 'is_dead' END AS mode FROM fc WHERE NOT p OR CAST(substr(factor, 2) AS INT) % 13 = 0)"""
+
+
+def _failures(x) -> DataFrame:
+    return rounds.fail_classes(x["screened"], x["screened"].where("cast(substr(factor, 2) as int) % 13 = 0"))
+
+
+@query(f"{_FAILED} SELECT factor, mode FROM fm")
+def round_fail_classes(spark, sf_dir):
+    return _failures(_round(spark, sf_dir))
+
+
+@query(f"{_FAILED} SELECT 'F' || CAST(s_nationkey AS VARCHAR) AS family, mode, count(*) AS n, string_agg(factor, ',' ORDER BY factor) AS factors FROM fm JOIN supplier ON factor = 's' || CAST(s_suppkey AS VARCHAR) GROUP BY 1, 2")
+def round_deaths(spark, sf_dir):
+    x = _round(spark, sf_dir)
+    return rounds.death_map(_failures(x), x["families"]).withColumn("factors", F.concat_ws(",", "factors"))
+
+
+@query(
+    f"""{_ROUND},
+ad AS (SELECT st.* FROM st WHERE n_passed > 0 AND factor NOT IN (SELECT CASE WHEN keeps_a THEN b ELSE a END FROM jd))
+SELECT 'F' || CAST(s_nationkey AS VARCHAR) AS family, count(*) AS submitted, count(CASE WHEN st.n_passed > 0 THEN 1 END) AS passed, count(ad.factor) AS admitted
+FROM supplier LEFT JOIN st ON st.factor = 's' || CAST(s_suppkey AS VARCHAR) LEFT JOIN ad ON ad.factor = st.factor GROUP BY 1"""
+)
+def round_families(spark, sf_dir):
+    x = _round(spark, sf_dir)
+    strength = rounds.strengths(x["screened"])
+    kept = rounds.admitted(x["screened"], rounds.near_duplicates(x["pairs"], strength, x["library"]))
+    return rounds.family_table(x["families"], x["screened"].where("passed"), kept)
+
+
+@query(
+    """
+WITH n AS (SELECT event_id, row_number() OVER (ORDER BY strftime(ts, '%Y%m%d'), event_id) - 1 AS i, count(*) OVER () AS n FROM events)
+SELECT event_id FROM n WHERE n <= 500 OR round_even(round_even(i * 499 / (n - 1e0), 0) * (n - 1) / 499e0, 0) = i"""
+)
+def strided_sample(spark, sf_dir):
+    """500 rows of all, evenly spaced over days."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", F.date_format("ts", "yyyyMMdd").alias("date"))
+    return E.day_stride(e, 500, "date", ("event_id",)).select("event_id")
 
 
 # Trading.
@@ -665,14 +798,12 @@ def supplier_rolling(spark, sf_dir):
     """SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) + 0.0 AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2"""
 )
 def stream_bars(spark, sf_dir):
-    import tempfile
     import uuid
 
     from quantloom.streaming import replay
 
     schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    at = f"{shared}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).withColumn("ts", F.col("ts").cast("timestamp"))
     # a replay of what is there: every window is given out, none is held back by the watermark
     out = replay.bars(stream, late="3650 days").writeStream.outputMode("complete").option("checkpointLocation", f"{at}/ck")

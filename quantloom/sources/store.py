@@ -62,21 +62,34 @@ def existing(spec: str, partitions: Sequence[str]) -> list[str]:
     return sorted(d for d in partitions if d in wanted)
 
 
-def day_folders(root: str, day: str) -> list[Path]:
-    """Folders csv_MMDD* of a day, the latest name last."""
-    return sorted(p for p in Path(root).glob(f"csv_{day[4:]}*") if p.is_dir())
+# File names in a day's dump, and the channels that carry funds.
+SNAPSHOT_FILE, CHANNEL_FILE, CHANNELS = "1_snapshot.csv.gz", "1_channel_{}.csv.gz", range(1, 7)
 
 
-def jobs(root: str, days: Sequence[str], exchanges=("sse", "szse"), channels=range(1, 7)) -> list[dict]:
-    """Channel-days whose tick and snapshot files exist in the day's latest folder."""
+def roots(text: str) -> dict[str, str]:
+    """'sse=/a,szse=/b' -> the root of each exchange; a bare folder has a folder for each."""
+    if "=" in text:
+        return dict(part.strip().split("=", 1) for part in text.split(",") if part.strip())
+    return {p.name: str(p) for p in sorted(Path(text).iterdir()) if p.is_dir()} if Path(text).is_dir() else {}
+
+
+def day_folder(root: str, day: str) -> Path | None:
+    """The latest dump of a day, root/YYYYMM/csv_MMDD*, among those that have a snapshot file."""
+    dumps = [p for p in Path(root, day[:6]).glob(f"csv_{day[4:]}*") if (p / SNAPSHOT_FILE).is_file()]
+    return max(dumps, key=lambda p: p.name, default=None)
+
+
+def jobs(where: dict[str, str], days: Sequence[str], channels=CHANNELS) -> list[dict]:
+    """Channel-days that can be run: a tick file a channel, and the day's one snapshot file for all of them."""
     out = []
-    for d in days:
-        found = day_folders(root, d)
-        for ex in exchanges if found else ():
-            for ch in channels:
-                t, s = (found[-1] / ex / f"{kind}_{ch}.csv.gz" for kind in ("tick", "snapshot"))
-                if t.exists() and s.exists():
-                    out.append({"date": d, "exchange": ex.upper(), "channel": ch, "ticks": str(t), "snapshots": str(s)})
+    for day in days:
+        for exchange, root in where.items():
+            found = day_folder(root, day)
+            ticks = {ch: found / CHANNEL_FILE.format(ch) for ch in channels} if found else {}
+            out += [
+                {"date": day, "exchange": exchange.upper(), "channel": ch, "ticks": str(path), "snapshots": str(found / SNAPSHOT_FILE)}
+                for ch, path in ticks.items() if path.is_file()
+            ]
     return out
 
 
@@ -172,6 +185,24 @@ def write_json(value, path: str) -> None:
     part.replace(p)
 
 
+def read_json(path: str, default=None):
+    """A JSON file, or the default where there is none."""
+    return json.loads(Path(path).read_text()) if Path(path).is_file() else default
+
+
+def write_text(text: str, path: str) -> None:
+    """A report that appears whole."""
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    part = Path(f"{path}.part")
+    part.write_text(text)
+    part.replace(path)
+
+
+def families(manifests: Sequence[str]) -> dict[str, str]:
+    """factor -> family, from a JSON list of factors a family; the family is the last part of the file's name."""
+    return {e["name"]: Path(m).stem.rpartition("_")[2] for m in sorted(manifests) for e in json.loads(Path(m).read_text())}
+
+
 def clean(value):
     if isinstance(value, dict):
         return {str(k): clean(v) for k, v in value.items()}

@@ -125,12 +125,12 @@ def write_day(root, exchange="sse", gap=False, one_sided=True):
                 seq += 1
                 ticks.append(f"{seq},{code},1,{clock(t + 900)},5.000,10,1,A,,0,{seq},{seq}")
             ticks.append("garbage,510300,1,x,4.0,1,1,A,,0,1,1")
-    folder = root / "csv_0701" / exchange
+    folder = root / exchange / "202507" / "csv_0701_180000"
     folder.mkdir(parents=True)
-    for name, lines in (("tick_1", ticks), ("snapshot_1", snaps)):
+    for name, lines in (("1_channel_1", ticks), ("1_snapshot", snaps)):
         with gzip.open(folder / f"{name}.csv.gz", "wt") as f:
             f.write("\n".join(lines) + "\n")
-    return store.jobs(str(root), ["20250701"])
+    return store.jobs(store.roots(str(root)), ["20250701"])
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quantloom.operators import digest, explore, validate
+from quantloom.operators import digest, explore, rounds, validate
 from quantloom.operators import evaluate as E
 from quantloom.operators import trading as T
 from quantloom.sources.store import Ledger
@@ -127,7 +127,8 @@ def test_gates_tell_signal_from_noise(spark, tmp_path):
     assert tax["signal"] == [] and "t_below_hurdle" in tax["noise"]
     fails = explore.classify_failures(got["stage1"], got["stage2"])
     assert {r["factor"]: r["admitted"] for r in fails.collect()} == {"signal": True, "noise": False}
-    assert explore.death_map(fails).count() > 0
+    r = rounds.screened(got["is"], got["stage1"], got["stage2"])
+    assert {x["factor"]: x["passed"] for x in r.collect()} == {"signal": True, "noise": False}
 
 
 def test_costs():
@@ -284,12 +285,70 @@ def test_pairwise_and_clusters(spark):
     assert digest.cluster_names(groups, {"copy": "flow", "signal": "flow"})[0]["name"] == "flow"
 
 
-def test_dedup_winners():
-    alive, dropped = explore.dedup_winners({"a": 5.0, "b": 4.0, "lib": 4.5}, [("a", "b", 1.0), ("a", "lib", 0.9995)], ["lib"])
-    assert alive == ["lib"] and len(dropped) == 2
-    alive, _ = explore.dedup_winners({"a": 9.0, "lib": 4.5}, [("a", "lib", 0.9995)], ["lib"])
-    assert alive == ["a"]
-    assert explore.dedup_winners({"a": 1.0, "b": 2.0}, [("a", "b", 0.5)])[0] == ["a", "b"]
+PASSED = "factor string, horizon_s int, is_t double, oos_t double, oos_mean_ic double, retention double, passed boolean"
+
+
+def a_round(spark):
+    rows = [
+        ("a", 15, 5.0, 4.0, 0.05, 0.9, True), ("a", 60, 4.0, -5.0, 0.04, 0.8, True), ("b", 15, 5.0, 5.0, 0.05, 0.9, True), ("c", 15, 3.0, 3.0, 0.05, 0.9, True),
+        ("dead", 15, 1.0, 9.0, 0.0, 0.1, False), ("gone", 15, 3.0, 1.0, 0.0, 0.1, False), ("faded", 15, 3.0, 2.5, 0.0, 0.3, False), ("faded", 60, 3.0, 1.0, 0.0, 0.9, False),
+        ("turned", 15, -3.0, 4.0, 0.0, -1.2, False), ("copy", 15, 9.0, 9.0, 0.0, 0.9, False), ("empty", 15, None, None, None, None, None),
+    ]
+    return spark.createDataFrame(rows, PASSED)
+
+
+def names_of(spark, *names):
+    return spark.createDataFrame([(n,) for n in names], "factor string")
+
+
+def test_near_duplicates_of_a_round(spark):
+    strength = spark.createDataFrame([("a", 5.0, 2), ("b", -5.0, 1), ("c", 3.0, 1), ("lib", 4.5, 1), ("weak", 2.0, 1)], "factor string, oos_t double, n_passed int")
+
+    def lost(*pairs, library=("lib", "weak")):
+        got = rounds.near_duplicates(spark.createDataFrame(list(pairs), "a string, b string, rho double"), strength, names_of(spark, *library)).collect()
+        return {(r["loser"], r["winner"], r["same"]) for r in got}
+
+    assert lost(("a", "b", 0.9), ("b", "a", 0.9)) == {("b", "a", False)}  # equal |t|: more horizons
+    assert lost(("a", "lib", 0.9)) == {("lib", "a", False)}  # merely alike: the library has no right of way
+    assert lost(("a", "lib", 0.9995), ("lib", "a", 0.9995)) == {("a", "lib", True)}  # not over 20 % stronger
+    assert lost(("a", "weak", 1.0)) == {("weak", "a", True)}
+    assert lost(("a", "lib", -0.9999)) == {("lib", "a", False)}  # nearly the same only by signed rho
+    assert lost(("a", "c", 0.84), ("a", "c", None)) == set()
+    assert lost(("c", "nobody", 0.95)) == {("nobody", "c", False)}
+
+
+def test_fail_classes_and_deaths_by_family(spark):
+    fails = rounds.fail_classes(a_round(spark), names_of(spark, "copy"))
+    assert {r["factor"]: r["mode"] for r in fails.collect()} == {
+        "dead": "is_dead", "empty": "is_dead", "gone": "oos_collapse", "faded": "retention_or_sign", "turned": "retention_or_sign", "copy": "panel_duplicate"
+    }
+    families = spark.createDataFrame([("dead", "F"), ("gone", "F"), ("faded", "G"), ("turned", "G")], "factor string, family string")
+    deaths = {(r["family"], r["mode"]): r["factors"] for r in rounds.death_map(fails, families).collect()}
+    assert deaths == {("F", "is_dead"): ["dead"], ("F", "oos_collapse"): ["gone"], ("G", "retention_or_sign"): ["faded", "turned"], ("?", "is_dead"): ["empty"], ("?", "panel_duplicate"): ["copy"]}
+
+
+def test_round_entry_merges_without_loss(spark):
+    families = spark.createDataFrame([(n, "F" if n < "c" else "G") for n in ("a", "b", "c", "dead", "gone", "faded", "turned", "copy", "empty")], "factor string, family string")
+    pairs = spark.createDataFrame([("a", "b", 0.9), ("a", "c", 0.75), ("c", "old", 0.9999), ("b", "c", 0.8)], "a string, b string, rho double")
+    library = {"r0": {"admitted": [{"name": "old", "oos_t": 2.0, "n_passed": 1}]}, "r1": {"notes": ["kept"], "admitted": [{"name": "stale"}]}, "prose": "as it was"}
+    entry = rounds.round_entry(a_round(spark), pairs, families, names_of(spark, "copy"), library, "r1")
+    assert [e["name"] for e in entry["admitted"]] == ["a", "c"] and entry["admitted"][0] | {"family": "F"} == entry["admitted"][0]
+    assert entry["admitted"][0]["best_horizon_s"] == 60 and entry["admitted"][0]["oos_t"] == -5.0
+    assert {(d["loser"], d["winner"]) for d in entry["dropped"]} == {("b", "a"), ("old", "c")}
+    assert entry["watchlist"] == [{"a": "a", "b": "c", "rho": 0.75}] and entry["notes"] == ["kept"]
+    assert entry["summary"] == {"passed": 3, "failed": 6, "dropped": 2, "admitted": 2, "library_total": 3}
+    assert {f["family"]: (f["submitted"], f["passed"], f["admitted"]) for f in entry["families"]} == {"F": (2, 2, 1), "G": (7, 1, 1)}
+    after = rounds.merged(library, "r1", entry)
+    assert after["r0"] == library["r0"] and after["prose"] == "as it was" and after["r1"] == entry
+    text = rounds.markdown("r1", entry)
+    assert "# Round r1" in text and "| a | b | rho |" in text and "F/oos_collapse" not in text and "G/oos_collapse" in text
+
+
+def test_day_stride_is_the_stride_over_all(spark):
+    df = spark.createDataFrame([(f"d{i // 37}", "x", i) for i in range(400)], "date string, instrument string, ts_ms long")
+    whole = E.stride_sample(df.withColumn("k", F.lit(1)), ["k"], ["date", "ts_ms"], 50)
+    assert {r["ts_ms"] for r in E.day_stride(df, 50).collect()} == {r["ts_ms"] for r in whole.collect()}
+    assert E.day_stride(df, 1000).count() == 400
 
 
 def test_stride_sample(spark):
