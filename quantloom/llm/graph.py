@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from quantloom.llm.common import durable
 
+#: Edges that a task takes; a small table isn't spread over more tasks than it has work for.
+EDGES_A_TASK = 250_000
+
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) -> (node, root) for each node of an edge; root is the smallest node reachable.
@@ -18,9 +21,10 @@ def components(edges: DataFrame) -> DataFrame:
     edges = durable(
         edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     )
+    tasks = edges.count() // EDGES_A_TASK + 1
     before = None
     while True:
-        edges = durable(_small_star(_large_star(edges)))
+        edges = durable(_small_star(_large_star(edges.coalesce(tasks), tasks), tasks).coalesce(tasks))
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
@@ -29,16 +33,16 @@ def components(edges: DataFrame) -> DataFrame:
         before = now
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Larger neighbours of each node are tied to the node's smallest neighbour (itself included)."""
-    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    tied = both.where(F.col("v") > F.col("u")).join(low, "u")
-    return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * tasks)
+    low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
+    tied = both.where(F.col("v") > F.col("u")).join(low, "u").coalesce(tasks)
+    return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Smaller neighbours of each node, and the node, are tied to the smallest of them."""
-    low = edges.groupBy("u").agg(F.min("v").alias("m"))
-    tied = edges.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+    low = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
+    tied = edges.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()

@@ -39,6 +39,8 @@ THRESHOLD = 0.3
 HEADS = (4, 5, 6, 7)
 #: Toxic documents that a feature must be seen in, and the weight of the mean share.
 SUPPORT, SHRINK = 3, 4.0
+#: Log odds that a beginning must have for doubled letters to be restored towards it.
+STRONG = 2.5
 #: Different words after the worst one whose evidence adds up; words with one beginning that are counted.
 NEXT, SHARED = 4, 3
 #: Restorations of a token that are looked at, and the share of their probability that one needs to count.
@@ -60,9 +62,9 @@ _REPEAT = re.compile(r"([^\W\d_])\1")
 _SEPARATORS = " ._-*'~,:;/"
 # single characters with one or two separators between them, three or more
 _SPACED = re.compile(r"(?<!\S)[^\s._\-*](?:[ ._\-*]{1,2}[^\s._\-*]){2,}(?!\S)")
-# marks around a word, but for one before or after it that may stand for a letter
-_BEFORE = re.compile(r"^(?:[\W_](?=[\W_])|[^\w$@!|+(€£¡])+|^_+")
-_AFTER = re.compile(r"(?:(?<=[\W_])[\W_]|[^\w$@|+€£])+$|_+$")
+# marks around a word that stand for no letter: others than lookalikes, and runs of three or more
+_BEFORE = re.compile(r"^(?:[\W_]{3,}|[^\w$@!|+(€£¡]+|_+)")
+_AFTER = re.compile(r"(?:[\W_]{3,}|[^\w$@|+€£]+|_+)$")
 
 
 def code(c: str) -> int:
@@ -234,6 +236,13 @@ def features(words: list[str]) -> set[str]:
     return out.union(f"{f}{k}" for f, n in shared_heads(words).items() for k in range(2, n + 1))
 
 
+class _Every:
+    """A set of everything."""
+
+    def __contains__(self, _) -> bool:
+        return True
+
+
 class Model:
     """Character model, feature counts and the logistic curve; plain data, so it can be broadcast."""
 
@@ -244,7 +253,9 @@ class Model:
         self.weight = tuple(w * (n_toxic + n_clean) for w in (share / max(1, n_toxic), (1 - share) / max(1, n_clean)))
         self.counts = counts
         self.begun = {f[: HEADS[0]] for f in counts}
-        self.skeletons = {skeleton(f.removesuffix("-")) for f in counts}
+        self.skeletons = {skeleton(f.removesuffix("-")) for f in counts if self.evidence(self.rate([f], share)) >= STRONG}
+        # beginnings of skeletons; those of shorter ones tell nothing, so all of them go on
+        self.bare = {s[:3] for s in self.skeletons} if all(len(s) > 2 for s in self.skeletons) else _Every()
         self.curve = np.array([1.0, 1.0, _logit(share)])
         self.known: dict[str, tuple[float, str]] = {}
 
@@ -273,8 +284,10 @@ class Model:
         return added_up(found)
 
     def worth(self, word: str) -> bool:
-        """Whether a restoration of repeated letters can have a known feature: all have the word's skeleton."""
+        """Whether a restoration of repeated letters can have a strong feature: all have the word's skeleton."""
         bare = skeleton(word)
+        if bare[:3] not in self.bare and len(bare) > 3:
+            return False
         return bare in self.skeletons or any(bare[:n] in self.skeletons for n in range(1, HEADS[-1] + 1))
 
     def token(self, token: str) -> tuple[float, str]:
@@ -282,9 +295,11 @@ class Model:
         got = self.known.get(token)
         if got is None:
             plain = token.rstrip(_ENDS)
-            if plain.isalpha() and not _REPEAT.search(plain):  # its only candidate
-                return (self.of_word(plain), plain) if plain[: HEADS[0]] in self.begun else _NOTHING
-            got = max(((self.of_word(w), w) for w in candidates(token, self.chars, self.worth) if w[: HEADS[0]] in self.begun), default=_NOTHING)
+            if plain.isalpha() and (not _REPEAT.search(plain) or not self.worth(plain)):  # its only candidate
+                words = [plain]
+            else:
+                words = candidates(token, self.chars, self.worth)
+            got = max(((self.of_word(w), w) for w in words if w[: HEADS[0]] in self.begun), default=_NOTHING)
             got = got if got[0] else _NOTHING
             if len(self.known) >= REMEMBERED:
                 self.known.clear()

@@ -63,8 +63,8 @@ def test_doubled_letters_short_and_joined_spellings(model):
 
 
 def test_worth_never_hides_a_restoration(model):
-    counts = {"idio-": (9, 0), "idiot": (9, 0), "scum": (9, 0)}
-    m = toxicity.Model(model, counts, 10, 10, 0.5)
+    counts = {"idio-": (90, 0), "idiot": (90, 0), "scum": (90, 0)}
+    m = toxicity.Model(model, counts, 100, 100, 0.5)
     for word in ("iddiott", "iiddiot", "sccumm", "idioot", "scum", "moon"):
         free = max(m.of_word(w) for w in toxicity.candidates(word, model))
         assert m.token(word)[0] == free
