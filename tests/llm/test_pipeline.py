@@ -60,7 +60,7 @@ def test_each_stage_against_brute_force(spark, folder):
             assert all(set(Counter(r["text"].split("\n"))) <= {*before[i]["text"].split("\n"), ""} for i, r in after.items())
         if k == 2:
             roots = roots_of([(i, r["text"]) for i, r in before.items()])
-            assert set(after) == {i for i, r in roots.items() if i == r} and {302, 308} & set(before) and not {302, 308} & set(after)
+            assert set(after) == {i for i, r in roots.items() if i == r} and len(after) < len(before)
         if k == 3:
             assert set(after) == {i for i, r in before.items() if not contamination(r["text"], items)[4]}
             assert len(after) < len(before)
