@@ -36,8 +36,10 @@ def query(oracle: str | None = None):
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
-    kinds = dict(df.dtypes)
-    return df.select([(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
+    """Doubles rounded as DuckDB does, by the binary product; Spark's own round goes by the decimal text, which
+    puts a value printed as -0.59625 on the other side."""
+    kinds, unit = dict(df.dtypes), F.lit(10.0**digits)
+    return df.select([(F.round(F.col(c) * unit) / unit + F.lit(0.0)).alias(c) if kinds[c] == "double" else F.col(c) for c in df.columns])
 
 
 def _r(sql: str) -> str:
