@@ -8,7 +8,8 @@ the sign. A window needs ``rows`` present values; ``z`` of a window without disp
 Null propagates as in SQL; a division by zero is null.
 
 A window over a window can't be one expression, so a set of formulas is compiled into stages: equal
-subexpressions share a column, and all windows of a stage share one sort of the series.
+subexpressions share a column, and all windows of a stage share one sort of the series. Both engines read the
+same SQL, but for rolling sums, deviations and recursive means, which Spark gets from ``with_rolling``.
 """
 
 from __future__ import annotations
@@ -19,11 +20,10 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quantloom.functions.scalar import ratio
-from quantloom.functions.windows import FLAT, Frame
+from quantloom.functions.windows import ROLLING, Frame, with_rolling
 
 _TOKEN = re.compile(r"\s*(?:(\d+\.?\d*(?:[eE][+-]?\d+)?)|([A-Za-z_]\w*)|(<=|>=|!=|[-+*/()<>=&|,]))")
-_ROWS = re.compile(r"^(zN|z|mean|std|sum|min|max|wma|lag|lead|delta|cnt|tot|sq)(\d+)$")
+_ROWS = re.compile(r"^(zN|z|mean|std|sum|min|max|wma|lag|lead|delta)(\d+)$")
 _TESTS = ("<", ">", "<=", ">=", "=", "!=", "&", "|")
 _CUM = ("cum_max", "cum_min", "cum_sum")
 _LEVELS = [("|",), ("&",), ("<", ">", "<=", ">=", "=", "!="), ("+", "-"), ("*", "/")]
@@ -151,114 +151,32 @@ def plan(formulas: dict[str, Node]) -> Plan:
 # Spark
 
 
-def _spark(node: Node, frame: Frame):
-    kind = node[0]
-    if kind == "num":
-        return F.lit(node[1])
-    if kind == "null":
-        return F.lit(None).cast("double")
-    if kind == "col":
-        return F.col(node[1])
-    a = [_spark(x, frame) for x in node[1:] if isinstance(x, tuple)]
-    if kind == "neg":
-        return -a[0]
-    if kind in "+-*/":  # a condition counts as 0 or 1
-        a = [x.cast("double") if _is_test(n) else x for x, n in zip(a, node[1:], strict=True)]
-    if kind != "call":
-        return {
-            "+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "/": ratio,
-            "<": lambda x, y: x < y, ">": lambda x, y: x > y, "<=": lambda x, y: x <= y, ">=": lambda x, y: x >= y,
-            "=": lambda x, y: x == y, "!=": lambda x, y: x != y, "&": lambda x, y: x & y, "|": lambda x, y: x | y,
-        }[kind](*a)
-    name = node[1]
-    if m := _ROWS.match(name):
-        what, n = m.group(1), int(m.group(2))
-        x = a[0]
-        if what == "z":
-            return frame.z(x, n)
-        if what == "zN":
-            return frame.z(x, n, None)
-        if what == "lead":
-            return frame.lag(x, -n)
-        if what == "delta":
-            return frame.diff(x, n)
-        return getattr(frame, what)(x, n)
-    if name in _CUM:
-        return getattr(frame, name)(a[0])
-    if name == "ewm":
-        return frame.ewm(a[2], node[2][1], int(node[3][1]))
-    if name == "if":
-        return F.when(a[0], a[1].cast("double")).otherwise(a[2].cast("double"))
-    if name == "clip":
-        low, high = node[3], node[4]
-        x = a[0]
-        out = x if low == ("null",) else F.greatest(x, a[1])
-        out = out if high == ("null",) else F.least(out, a[2])
-        return F.when(x.isNotNull(), out)
-    if name == "bool":
-        return a[0].cast("double")
-    one = {
-        "abs": F.abs, "sgn": F.signum, "sqrt": F.sqrt, "log": F.ln,
-        "isnull": lambda x: x.isNull(), "notnull": lambda x: x.isNotNull(),
-    }
-    if name in one:
-        return one[name](a[0])
-    if name == "pow":
-        return F.pow(a[0], a[1])
-    raise ValueError(f"unknown function {name}")
-
-
 def compute(df: DataFrame, formulas: dict[str, str | Node], frame: Frame = Frame(), keep: list[str] | None = None) -> DataFrame:
-    """df with a column for each formula: as many projections as windows are nested, one sort."""
+    """df with a column for each formula: as many passes as windows are nested, one sort each."""
     nodes = {k: parse(v) if isinstance(v, str) else v for k, v in formulas.items()}
-    folds = any("ewm" in str(n) for n in nodes.values())  # a fold has no SQL that both engines read
-    p = plan(nodes if folds else {k: _expand(v) for k, v in nodes.items()})
-    out = df
+    p = plan(nodes)
     kept = df.columns if keep is None else keep
-    if folds:
-        for stage in p.stages:
-            out = out.select("*", *[_spark(v, frame).alias(k) for k, v in stage.items()])
-        return out.select(*kept, *[_spark(v, frame).cast("double").alias(k) for k, v in p.outputs.items()])
-    # the same expressions as text: one call a column instead of one a node
+    # a pass in Python carries what it is given, so only what is read goes in
+    used = {c.lower() for c in set(kept).union(frame.keys, frame.order, *map(columns, nodes.values()))}
+    out = df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() in used])
     for stage in p.stages:
-        out = out.selectExpr("*", *[f"{_sql(v, frame)} AS `{k}`" for k, v in stage.items()])
+        passed = {k: _pass(v, frame) for k, v in stage.items()}
+        plain = [f"{_sql(v, frame)} AS `{k}`" for k, v in stage.items() if passed[k] is None]
+        rolled = {k: v for k, v in passed.items() if v is not None}
+        out = out.selectExpr("*", *plain) if plain else out
+        out = with_rolling(out, frame, rolled) if rolled else out
     return out.selectExpr(*[f"`{c}`" for c in kept], *[f"CAST({_sql(v, frame)} AS DOUBLE) AS `{k}`" for k, v in p.outputs.items()])
 
 
-# DuckDB
+def _pass(node: Node, frame: Frame) -> tuple | None:
+    """What ``with_rolling`` takes for a window node; None for one that is a running or short frame in SQL."""
+    if node[1] == "ewm":
+        return ("ewm", _sql(node[4], frame), node[2][1], int(node[3][1]))
+    m = _ROWS.match(node[1])
+    return (m.group(1), _sql(node[2], frame), int(m.group(2))) if m and m.group(1) in ROLLING else None
 
 
-def _expand(node: Node) -> Node:
-    """Rolling means, sums, deviations and z-scores in terms of what their windows hold: count, total and
-    total of squares, which formulas over one input share."""
-    if not isinstance(node, tuple):
-        return node
-    node = tuple(_expand(x) for x in node)
-    m = _ROWS.match(node[1]) if node[0] == "call" else None
-    if not m or m.group(1) not in ("z", "zN", "mean", "std", "sum"):
-        return node
-    what, n, x = m.group(1), int(m.group(2)), node[2]
-    count, total, squares = (("call", f"{k}{n}", x) for k in ("cnt", "tot", "sq"))
-    rows, mean = ("num", float(n)), ("/", total, ("num", float(n)))
-    var = ("/", ("-", squares, ("*", total, mean)), ("num", n - 1.0))
-    spread = (">", var, ("*", ("num", FLAT), ("/", squares, rows)))
-    sd = ("call", "sqrt", var)
-    value = {
-        "mean": mean, "sum": total, "std": ("call", "if", spread, sd, ("num", 0.0)),
-        "z": ("call", "if", spread, ("/", ("-", x, mean), sd), ("num", 0.0)),
-        "zN": ("call", "if", spread, ("/", ("-", x, mean), sd), ("null",)),
-    }[what]
-    return ("call", "if", ("=", count, rows), value, ("null",))
-
-
-def _held(what: str, x: str, n: int, part: str) -> str:
-    """What the last n rows hold, as the difference of two running totals (see ``windows``)."""
-    x = f"CASE WHEN NOT isnan({x}) AND abs({x}) <> 'Infinity'::DOUBLE THEN {x} END"
-    upto, before = (f"OVER ({part} ROWS BETWEEN UNBOUNDED PRECEDING AND {end})" for end in ("CURRENT ROW", f"{n} PRECEDING"))
-    if what == "cnt":
-        return f"(count({x}) {upto} - count({x}) {before})"
-    v = x if what == "tot" else f"pow({x}, 2)"
-    return f"(coalesce(sum({v}) {upto}, 0D) - coalesce(sum({v}) {before}, 0D))"
+# DuckDB
 
 
 def _sql(node: Node, frame: Frame) -> str:
@@ -285,8 +203,6 @@ def _sql(node: Node, frame: Frame) -> str:
         rows = f"OVER ({part} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
         x = f"CAST({a[0]} AS DOUBLE)"
         full = f"count({x}) {rows} = {n}"
-        if what in ("cnt", "tot", "sq"):
-            return _held(what, x, n, part)
         if what in ("z", "zN"):
             sd = f"stddev_samp({x}) {rows}"
             flat = "0.0" if what == "z" else "NULL"

@@ -3,17 +3,22 @@
 A ``Frame`` names the partition and order; its methods return columns. Rolling functions need a full
 window of present values, and are NULL before.
 
-Rolling sums, means and deviations are differences of two running totals (up to the row, and up to where
-the window starts): Spark extends a running frame by a row at a time, while a sliding frame is summed anew
-for every row, a hundred times the work for a hundred rows. Series are days, so totals stay short.
+Rolling sums, means and deviations add up the rows of their window alone. Differences of running totals would
+be cheaper, but they carry the rounding of the whole series before: in long ones the fourth digit is lost.
+``with_rolling`` adds many of them, and recursive means, in one pass over the sorted rows; the ``Frame`` methods
+are sliding frames for single columns.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from itertools import accumulate
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from quantloom.functions.scalar import col, finite, ratio
@@ -48,10 +53,8 @@ class Frame:
 
     def _totals(self, x: Column, n: int) -> tuple[Column, Column, Column]:
         """Count, sum and sum of squares of the present values in the last n rows."""
-        x = finite(x.cast("double"))
-        upto, before = self.so_far, self.w.rowsBetween(Window.unboundedPreceding, -n)
-        sums = [F.coalesce(F.sum(v).over(upto), F.lit(0.0)) - F.coalesce(F.sum(v).over(before), F.lit(0.0)) for v in (x, x * x)]
-        return F.count(x).over(upto) - F.count(x).over(before), *sums
+        x, w = finite(x.cast("double")), self.rows(n)
+        return F.count(x).over(w), F.sum(x).over(w), F.sum(x * x).over(w)
 
     def _variance(self, x: Column, n: int) -> Column:
         """Sample variance of a full window; 0 where what is left of the totals is their rounding."""
@@ -178,6 +181,91 @@ def correlation(x, y) -> Column:
     return ratio(F.covar_pop(col(x), col(y)), F.stddev_pop(col(x)) * F.stddev_pop(col(y)))
 
 
+def with_rolling(df: DataFrame, frame: Frame, wanted: dict[str, tuple]) -> DataFrame:
+    """Append a double for each name: (what, x, n) with what in ROLLING, or ("ewm", x, alpha, least), over the SQL
+    text x. Rows go by once in the order of their series; a task holds the rows of one window beside its batch.
+    """
+    texts = list(dict.fromkeys(w[1] for w in wanted.values()))
+    jobs = [(w[0], texts.index(w[1]), *w[2:]) for w in wanted.values()]
+    carried, back = df.columns, max([1, *[j[2] for j in jobs if j[0] != "ewm"]]) - 1
+    out = T.StructType([*df.schema.fields, *[T.StructField(name, T.DoubleType()) for name in wanted]])
+
+    def run(batches):
+        held = [(np.zeros(back), np.zeros(back, bool)) for _ in texts]
+        states: dict[int, tuple] = {}
+        for batch in batches:
+            place, rows = batch.column(len(carried)).to_numpy(), batch.num_rows
+            given = [batch.column(len(carried) + 1 + k) for k in range(len(texts))]
+            series = []
+            for k, x in enumerate(given):
+                value = x.to_numpy(zero_copy_only=False)
+                seen = np.isfinite(value)
+                value, seen = np.concatenate((held[k][0], np.where(seen, value, 0.0))), np.concatenate((held[k][1], seen))
+                held[k] = value[rows:], seen[rows:]
+                series.append((value, np.concatenate(([0], np.cumsum(seen)))))
+            known: dict[tuple, np.ndarray] = {}
+            columns = []
+            for at, job in enumerate(jobs):
+                if job[0] == "ewm":
+                    y, states[at] = _recursive(given[job[1]], place, job[2], job[3], states.get(at, (None, 0)))
+                else:
+                    y = _rolled(job, *series[job[1]], place, back, known)
+                columns.append(y)
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(carried))], *columns], names=out.names)
+
+    # a window's rows come out whole and in order
+    placed = df.select("*", F.row_number().over(frame.w).alias("__place"))
+    return placed.selectExpr("*", *[f"CAST({x} AS DOUBLE) AS __x{k}" for k, x in enumerate(texts)]).mapInArrow(run, out)
+
+
+ROLLING = ("z", "zN", "mean", "std", "sum")
+
+
+def _rolled(job: tuple, value: np.ndarray, counts: np.ndarray, place: np.ndarray, back: int, known: dict) -> pa.Array:
+    """A rolling value of the last rows of ``value``; ``back`` rows stand before them. Sums go from the oldest row on."""
+    what, k, n = job
+    rows = len(place)
+    full = (counts[back + 1 : back + 1 + rows] - counts[back + 1 - n : back + 1 - n + rows] == n) & (place >= n)
+
+    def added(term) -> np.ndarray:
+        total = np.zeros(rows)
+        for at in range(back - n + 1, back + 1):
+            total += term(value[at : at + rows])
+        return total
+
+    if (k, n) not in known:
+        known[k, n] = added(lambda v: v)
+    total = known[k, n]
+    mean = total / n
+    if what in ("sum", "mean"):
+        return pa.array(total if what == "sum" else mean, mask=~full)
+    if (k, n, "squares") not in known:
+        known[k, n, "squares"] = added(lambda v: (v - mean) ** 2)
+    squares = known[k, n, "squares"]
+    var = squares / (n - 1)
+    spread = var > FLAT * (squares / n + mean**2)
+    sd = np.sqrt(np.where(spread, var, 1.0))
+    y = np.where(spread, sd if what == "std" else (value[back:] - mean) / sd, 0.0)
+    return pa.array(y, mask=~(full & spread) if what == "zN" else ~full)
+
+
+def _recursive(x: pa.Array, place: np.ndarray, alpha: float, least: int, state: tuple) -> tuple[pa.Array, tuple]:
+    """``Frame.ewm`` of a batch, and the last mean and number of values for the next one."""
+    value, some = x.to_numpy(zero_copy_only=False), x.is_valid().to_numpy(zero_copy_only=False)
+    y, shown = np.zeros(len(place)), np.zeros(len(place), bool)
+    bounds = [0, *(np.flatnonzero(place[1:] == 1) + 1).tolist(), len(place)]
+    for a, b in zip(bounds, bounds[1:], strict=False):
+        last, seen = (None, 0) if a < b and place[a] == 1 else state
+        at = np.flatnonzero(some[a:b]) + a
+        if len(at):
+            means = list(accumulate(value[at].tolist(), lambda acc, v: acc * (1 - alpha) + v * alpha, initial=last))
+            y[at] = means if last is None else means[1:]
+            shown[at] = seen + np.arange(1, len(at) + 1) >= least
+            last, seen = means[-1], seen + len(at)
+        state = last, seen
+    return pa.array(y, mask=~shown), state
+
+
 def with_forward(df: DataFrame, frame: Frame, horizons_ms: dict[str, int], values: dict[str, str]) -> DataFrame:
     """Append, for each name, a struct (ts, values...) of the first row at or after ts + ms; NULL if none.
 
