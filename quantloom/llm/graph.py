@@ -37,12 +37,12 @@ def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Larger neighbours of each node are tied to the node's smallest neighbour (itself included)."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(2 * tasks)
     low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).coalesce(tasks)
-    tied = both.where(F.col("v") > F.col("u")).join(low, "u").coalesce(tasks)
+    tied = both.where(F.col("v") > F.col("u")).join(low.hint("merge"), "u").coalesce(tasks)
     return tied.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct().coalesce(tasks)
 
 
 def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Smaller neighbours of each node, and the node, are tied to the smallest of them."""
     low = edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks)
-    tied = edges.join(low, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
+    tied = edges.join(low.hint("merge"), "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks)
     return tied.unionByName(low.select("u", F.col("m").alias("v"))).where("u != v").distinct()

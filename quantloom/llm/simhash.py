@@ -93,11 +93,11 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     )
     # fingerprints of one variant, gathered up to the bound; a longer group is marked by its size alone
     sized = variants.groupBy("slot", "part").agg(F.count("*").alias("n")).where("n > 1")
-    met = durable(variants.join(sized, ["slot", "part"]))
+    met = durable(variants.join(sized.hint("merge"), ["slot", "part"]))
     few = met.where(F.col("n") <= bucket).select("slot", "part", "fp")
     pairs = (
         few.alias("a")
-        .join(few.withColumnRenamed("fp", "other").alias("b"), ["slot", "part"])
+        .join(few.withColumnRenamed("fp", "other").hint("merge").alias("b"), ["slot", "part"])
         .where((F.col("fp") < F.col("other")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 2))
         .select(F.col("fp").alias("u"), F.col("other").alias("v"))
     )
